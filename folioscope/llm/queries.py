@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import leakage, splitting
+from folioscope.llm import covering, leakage, splitting
 from folioscope.registry import query
 from folioscope.tables import table
 
@@ -37,3 +37,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p8_spans", operators="problem 8")
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query("p5_found", operators="problem 5")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return covering.similar_pairs(table(spark, d, "chunks")).select(F.col("a_id").alias("chunk_id_a"), F.col("b_id").alias("chunk_id_b"))
