@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import covering, leakage, splitting
+from folioscope.llm import covering, leakage, similar_vectors, splitting
 from folioscope.registry import query
 from folioscope.tables import table
 
@@ -42,3 +42,16 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
 @query("p5_found", operators="problem 5")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return covering.similar_pairs(table(spark, d, "chunks")).select(F.col("a_id").alias("chunk_id_a"), F.col("b_id").alias("chunk_id_b"))
+
+
+@query("p1_found", operators="problem 1")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = similar_vectors.similar_pairs(table(spark, d, "chunks"))
+    return pairs.select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+@query("p1_neighbours", operators="problem 1")
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 most similar chunks of every chunk whose id is divisible by 100, against all chunks."""
+    c = table(spark, d, "chunks")
+    return similar_vectors.nearest_for_queries(c, c.where(F.col("id") % 100 == 0))
