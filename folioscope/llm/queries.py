@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import covering, leakage, similar_vectors, splitting
+from folioscope.llm import covering, leakage, similar_vectors, splitting, truncation
 from folioscope.registry import query
 from folioscope.tables import table
 
@@ -55,3 +55,13 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The 10 most similar chunks of every chunk whose id is divisible by 100, against all chunks."""
     c = table(spark, d, "chunks")
     return similar_vectors.nearest_for_queries(c, c.where(F.col("id") % 100 == 0))
+
+
+@query("p10_found", operators="problem 10")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "documents")).where("cut").select("doc_id").distinct()
+
+
+@query("p10_rates", operators="problem 10")
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(table(spark, d, "documents"))
