@@ -11,7 +11,7 @@ No pair within the radius can be missed, whatever the random bits.
 
 A text is hashed in the class of its own size and in the classes a larger partner can lie in. The
 signatures of a batch are packed per partition of the signature space: per text its set hash, its size
-and a 64-bit parity sketch, whose Hamming distance never exceeds the number of differing words, then
+and a 128-bit parity sketch, whose Hamming distance never exceeds the number of differing words, then
 its signatures. Texts with equal word sets are one set from the start, so a group of copies, however
 large, is one entry; runs of one signature that are longer than ``run_limit`` are compared in pairs of
 bounded blocks by a second pass. Candidate pairs are verified on the word sets. Words are compared by
@@ -59,7 +59,7 @@ def size_class(number: int, min_words: int, threshold: float, kept: float) -> Si
     low = int(np.ceil(min_words * _CLASS_RATIO**number))
     high = int(np.ceil(min_words * _CLASS_RATIO ** (number + 1)))
     radius = int((1 - threshold) / (1 + threshold) * 2 * (high - 1) + 1e-9)
-    options = [(radius // (rho + 1) + 1, rho) for rho in (1, 2, 3)]
+    options = [(radius // (rho + 1) + 1, rho) for rho in (1, 2, 3, 4)]
     good = [o for o in options if low / (2 * o[0]) >= kept] or options[-1:]
     blocks, rho = min(good, key=lambda o: o[0] * (2 ** (o[1] + 1) - 1))
     return SizeClass(low, high, radius, blocks, rho)
@@ -118,15 +118,38 @@ def batch_signatures(words: np.ndarray, sizes: np.ndarray, min_words: int, thres
 
 
 def parity_sketch(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Two 64-bit halves [n, 2]: the parity of the words that fall on each of 128 bits."""
     h = mix(words + np.uint64(77))
-    return np.bitwise_xor.reduceat(np.left_shift(np.uint64(1), h & np.uint64(63)), np.concatenate([[0], np.cumsum(sizes)])[:-1])
+    first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    bit = np.left_shift(np.uint64(1), h & np.uint64(63))
+    upper = ((h >> np.uint64(6)) & np.uint64(1)).astype(bool)
+    halves = [np.bitwise_xor.reduceat(np.where(upper == half, bit, np.uint64(0)), first) for half in (False, True)]
+    return np.stack(halves, axis=1)
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, sketch: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs of indices may reach the threshold, by sizes and by the Hamming distance of sketches."""
     na, nb = sizes[a], sizes[b]
     bound = ((na + nb) * (1 - threshold) / (1 + threshold) + 1e-9).astype(np.int64)
-    return (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9) & (np.bitwise_count(sketch[a] ^ sketch[b]) <= bound)
+    distance = np.bitwise_count(sketch[a, 0] ^ sketch[b, 0]) + np.bitwise_count(sketch[a, 1] ^ sketch[b, 1])
+    return (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9) & (distance <= bound)
+
+
+def dense_pairs(left: np.ndarray, right: np.ndarray, sketch: np.ndarray, sizes: np.ndarray, threshold: float, rows: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """``close_pairs`` of all of ``left`` with all of ``right``, as tables of distances."""
+    most = int((1 - threshold) / (1 + threshold) * (int(sizes[left].max()) + int(sizes[right].max())) + 1e-9)
+    found_a, found_b = [], []
+    second = sketch[right]
+    for at in range(0, len(left), rows):
+        first = sketch[left[at : at + rows]]
+        distance = np.bitwise_count(first[:, None, 0] ^ second[None, :, 0])
+        distance += np.bitwise_count(first[:, None, 1] ^ second[None, :, 1])
+        i, j = np.nonzero(distance <= most)
+        found_a.append(left[at + i])
+        found_b.append(right[j])
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    good = close_pairs(a, b, sketch, sizes, threshold)
+    return a[good], b[good]
 
 
 def run_pairs(first: np.ndarray, length: np.ndarray, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -180,80 +203,87 @@ def candidate_sets(sets: DataFrame, parts: int, min_words: int, threshold: float
                 there, counts = np.unique(d, return_counts=True)
                 head = np.array([len(there), len(k)], np.uint32)
                 numbers.append(p)
-                blobs.append(b"".join(x.tobytes() for x in (head, hashes[there].astype(np.int64), sketch[there], sizes[there].astype(np.uint32), counts.astype(np.uint16), k)))
+                blobs.append(b"".join(x.tobytes() for x in (head, hashes[there], sketch[there, 0], sketch[there, 1], sizes[there].astype(np.uint32), counts.astype(np.uint16), k)))
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     def unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-        columns: list[list[np.ndarray]] = [[], [], [], []]
+        columns: list[list[np.ndarray]] = [[], [], [], [], []]
         for blob in blobs:
             n, k = np.frombuffer(blob, np.uint32, 2)
             at = 8
             parts_of = []
-            for kind, count in ((np.int64, n), (np.uint64, n), (np.uint32, n), (np.uint16, n), (np.uint32, k)):
+            for kind, count in ((np.int64, n), (np.uint64, n), (np.uint64, n), (np.uint32, n), (np.uint16, n), (np.uint32, k)):
                 parts_of.append(np.frombuffer(blob, kind, count, at))
                 at += np.dtype(kind).itemsize * int(count)
-            times = parts_of[3].astype(np.int64)
-            columns[0].append(np.repeat(parts_of[0], times))
-            columns[1].append(np.repeat(parts_of[1], times))
-            columns[2].append(np.repeat(parts_of[2], times))
-            columns[3].append(parts_of[4])
+            times = parts_of[4].astype(np.int64)
+            for c in range(4):
+                columns[c].append(np.repeat(parts_of[c], times))
+            columns[4].append(parts_of[5])
         return tuple(np.concatenate(c) for c in columns)
 
-    names = ["a", "b", "run", "sketch", "size", "blocks"]
-    schema = "a long, b long, run long, sketch long, size int, blocks int"
+    names = ["a", "b", "run", "low_sketch", "high_sketch", "size", "blocks"]
+    schema = "a long, b long, run long, low_sketch long, high_sketch long, size int, blocks int"
 
     def collide(key: tuple, group: pa.Table) -> pa.Table:
         number = key[0].as_py()
-        hashes, sketch, sizes, keys = unpack(group.column("blob").to_pylist())
+        hashes, low, high, sizes, keys = unpack(group.column("blob").to_pylist())
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         length = np.diff(np.concatenate([start, [len(keys)]]))
         many = length > 1
         start, length = start[many], length[many]
-        hot = length > run_limit
-        hashes, sketch, sizes = hashes[order], sketch[order], sizes[order].astype(np.int64)
+        hot, dense = length > run_limit, length > 24
+        hashes, sizes = hashes[order], sizes[order].astype(np.int64)
+        sketch = np.stack([low[order], high[order]], axis=1)
         pairs = [np.zeros((0, 2), np.int64)]
-        for left, right in run_pairs(start[~hot], length[~hot]):
-            good = close_pairs(left, right, sketch, sizes, threshold)
-            x, y = hashes[left[good]], hashes[right[good]]
+
+        def keep(x: np.ndarray, y: np.ndarray) -> None:
+            x, y = hashes[x], hashes[y]
             pairs.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
+
+        for left, right in run_pairs(start[~dense], length[~dense]):
+            good = close_pairs(left, right, sketch, sizes, threshold)
+            keep(left[good], right[good])
+        for s, n in zip(start[dense & ~hot].tolist(), length[dense & ~hot].tolist(), strict=True):
+            at = np.arange(s, s + n)
+            left, right = dense_pairs(at, at, sketch, sizes, threshold)
+            keep(left[left < right], right[left < right])
         found = np.unique(np.concatenate(pairs), axis=0)
         found = found[found[:, 0] != found[:, 1]]
-        rows = [pa.array(found[:, 0]), pa.array(found[:, 1]), *(pa.nulls(len(found), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+        rows = [pa.array(found[:, 0]), pa.array(found[:, 1]), *(pa.nulls(len(found), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
         out = [pa.Table.from_arrays(rows, names=names)]
         for s, n in zip(start[hot].tolist(), length[hot].tolist(), strict=True):
             part = slice(s, s + n)
-            columns = [pa.array(hashes[part]), pa.nulls(n, pa.int64()), pa.array(np.full(n, number * 2**32 + int(keys[s]), np.int64)), pa.array(sketch[part].view(np.int64)), pa.array(sizes[part].astype(np.int32)), pa.array(np.full(n, -(-n // (run_limit // 2)), np.int32))]
+            columns = [pa.array(hashes[part]), pa.nulls(n, pa.int64()), pa.array(np.full(n, number * 2**32 + int(keys[s]), np.int64)), pa.array(sketch[part, 0].copy().view(np.int64)), pa.array(sketch[part, 1].copy().view(np.int64)), pa.array(sizes[part].astype(np.int32)), pa.array(np.full(n, -(-n // (run_limit // 2)), np.int32))]
             out.append(pa.Table.from_arrays(columns, names=names))
         return pa.concat_tables(out)
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
         own, hashes = group.column("own").to_numpy(), group.column("a").to_numpy()
-        sketch, sizes = group.column("sketch").to_numpy().view(np.uint64), group.column("size").to_numpy().astype(np.int64)
+        sketch = np.stack([group.column(c).to_numpy().view(np.uint64) for c in ("low_sketch", "high_sketch")], axis=1)
+        sizes = group.column("size").to_numpy().astype(np.int64)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found = [np.zeros((0, 2), np.int64)]
-        for at in range(0, len(left), 1000):
-            x, y = np.repeat(left[at : at + 1000], len(right)), np.tile(right, len(left[at : at + 1000]))
-            good = close_pairs(x, y, sketch, sizes, threshold) & (hashes[x] < hashes[y] if i == j else hashes[x] != hashes[y])
-            x, y = hashes[x[good]], hashes[y[good]]
-            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-        pairs = np.concatenate(found)
-        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        if not len(left) or not len(right):
+            return pa.Table.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
+        x, y = dense_pairs(left, right, sketch, sizes, threshold)
+        x, y = hashes[x], hashes[y]
+        x, y = np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]
+        return pa.Table.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
     packed = sets.select("set_hash", "words").mapInArrow(pack, "part int, blob binary")
     collided = cut(packed.groupBy("part").applyInArrow(collide, schema))
-    hot = collided.where(F.col("b").isNull()).select("run", "a", "sketch", "size", "blocks").distinct()
+    hot = collided.where(F.col("b").isNull()).select("run", "a", "low_sketch", "high_sketch", "size", "blocks").distinct()
     own = F.pmod(F.xxhash64("a"), F.col("blocks").cast("long")).cast("int")
-    spread = hot.select("run", "a", "sketch", "size", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "run", "a", "sketch", "size", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    spread = hot.select("run", "a", "low_sketch", "high_sketch", "size", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "run", "a", "low_sketch", "high_sketch", "size", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     )
     slow = spread.groupBy("run", "i", "j").applyInArrow(compare, "a long, b long")
     return collided.where(F.col("b").isNotNull()).select("a", "b").unionByName(slow).distinct()
 
 
-def similar_sets(rows: DataFrame, id_column: str = "id", text_column: str = "content", min_words: int = 20, threshold: float = 0.8, kept: float = 4.2, run_limit: int = 4000) -> tuple[DataFrame, DataFrame]:
+def similar_sets(rows: DataFrame, id_column: str = "id", text_column: str = "content", min_words: int = 20, threshold: float = 0.8, kept: float = 5.5, run_limit: int = 4000) -> tuple[DataFrame, DataFrame]:
     """Members (id, set_hash) and verified pairs (a, b, similarity) of different word sets."""
     spark = rows.sparkSession
     base = word_sets(rows, id_column, text_column, min_words)
