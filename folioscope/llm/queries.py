@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import covering, leakage, similar_vectors, splitting, truncation
+from folioscope.llm import covering, leakage, mixing, similar_vectors, splitting, truncation
 from folioscope.registry import query
 from folioscope.tables import table
 
@@ -65,3 +65,14 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p10_rates", operators="problem 10")
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(table(spark, d, "documents"))
+
+
+@query("p9_mix", operators="problem 9")
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query("p9_report", operators="problem 9")
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.report(mixing.mix(table(spark, d, "documents"), targets), targets)
