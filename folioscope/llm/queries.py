@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import covering, leakage, mixing, similar_vectors, splitting, truncation
+from folioscope.llm import covering, encoding, leakage, mixing, similar_vectors, splitting, truncation
 from folioscope.registry import query
 from folioscope.tables import table
 
@@ -76,3 +76,13 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "mix_targets")
     return mixing.report(mixing.mix(table(spark, d, "documents"), targets), targets)
+
+
+@query("p6_found", operators="problem 6")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.restored_fields(table(spark, d, "chunks")).select(F.col("id").alias("chunk_id"), "field_name").distinct()
+
+
+@query("p6_restored", operators="problem 6")
+def p6_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.restored_fields(table(spark, d, "chunks")).select(F.col("id").alias("chunk_id"), "field_name", "restored", "complete")
