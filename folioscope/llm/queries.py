@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import covering, encoding, leakage, mixing, similar_vectors, splitting, truncation
+from folioscope.llm import covering, encoding, leakage, mixing, scans, similar_vectors, splitting, truncation
 from folioscope.registry import query
 from folioscope.tables import table
 
@@ -86,3 +86,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p6_restored", operators="problem 6")
 def p6_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.restored_fields(table(spark, d, "chunks")).select(F.col("id").alias("chunk_id"), "field_name", "restored", "complete")
+
+
+@query("p7_found", operators="problem 7")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noise(table(spark, d, "chunks")).select(F.col("id").alias("chunk_id"), "noise")
+
+
+@query("p7_repaired", operators="problem 7")
+def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(table(spark, d, "chunks")).select(F.col("id").alias("chunk_id"), "repaired")
