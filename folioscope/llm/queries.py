@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import covering, encoding, leakage, mixing, scans, similar_vectors, splitting, truncation
+from folioscope.llm import covering, encoding, leakage, mixing, names, scans, similar_vectors, splitting, truncation
 from folioscope.registry import query
 from folioscope.tables import table
 
@@ -96,3 +96,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p7_repaired", operators="problem 7")
 def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scans.repaired(table(spark, d, "chunks")).select(F.col("id").alias("chunk_id"), "repaired")
+
+
+@query("p3_found", operators="problem 3")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_pairs(table(spark, d, "entities")).select(F.col("a").alias("entity_id_a"), F.col("b").alias("entity_id_b"))
