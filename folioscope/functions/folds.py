@@ -1,0 +1,415 @@
+"""Order-dependent functions over one text: sections, packing, tables, numbers, patches, JSON out of answers.
+
+They are pure Python; ``apply`` runs one over a column in Arrow batches.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from folioscope.functions.constants import CHUNK_MAX, SEMANTIC_THRESHOLD
+
+COMMENT = re.compile(r"<!--.*?-->", re.DOTALL)
+
+
+def apply(rows: DataFrame, keep: list[str], inputs: list[str], function: Callable, fields: str) -> DataFrame:
+    """``function(*inputs)`` yields tuples; each becomes a row of ``keep`` and ``fields`` (a DDL string)."""
+    shaped = rows.select(*keep, *inputs)
+    kept = ", ".join(f"`{n}` {t}" for n, t in shaped.dtypes[: len(keep)])
+    schema = (kept + ", " if kept else "") + fields
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    parsed = _parse_datatype_string(schema)
+    assert isinstance(parsed, StructType)
+    arrow = to_arrow_schema(parsed)
+    n = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            out: list[list] = [[] for _ in arrow]
+            for row in zip(*columns, strict=True):
+                for made in function(*row[n:]):
+                    for target, value in zip(out, (*row[:n], *made), strict=True):
+                        target.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, arrow, strict=True)], schema=arrow)
+
+    return shaped.mapInArrow(run, schema)
+
+
+# Sections and packing
+
+
+def paragraphs(text: str) -> list[str]:
+    return [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
+
+
+def pack(parts: list[str], size: int, joint: str = "\n\n") -> list[str]:
+    """Neighbouring parts filled into pieces of at most ``size``; a part over it stays whole."""
+    out: list[str] = []
+    for part in parts:
+        if out and len(out[-1]) + len(joint) + len(part) <= size:
+            out[-1] += joint + part
+        else:
+            out.append(part)
+    return out
+
+
+def split_long(body: str, size: int = CHUNK_MAX) -> list[str]:
+    return [body] if len(body) <= size else pack(paragraphs(body), size)
+
+
+def markdown_sections(text: str) -> list[tuple[str, str]]:
+    """(label, body) per second-level heading; what stands before the first is the preamble."""
+    out = []
+    for part in re.split(r"(?m)(?=^##\s)", COMMENT.sub("", text)):
+        if part.strip():
+            first, _, _ = part.partition("\n")
+            out.append((first[2:].strip() if re.match(r"##\s", part) else "_preamble_", part.strip()))
+    return out
+
+
+def chunk_markdown(text: str | None, least: int = 80, size: int = CHUNK_MAX) -> Iterator[tuple[int, str, str]]:
+    number = 0
+    for label, body in markdown_sections(text or ""):
+        for piece in split_long(body, size):
+            if len(piece) >= least:
+                yield number, label, piece
+                number += 1
+
+
+def section_groups(text: str | None, most: int = 15000, without: int = 5000, group: int = 8000) -> Iterator[tuple[int, str, str]]:
+    """Sections with caps: by heading, oversized ones by third-level heading or in groups of paragraphs."""
+    sections = markdown_sections(text or "")
+    if len(sections) == 1 and sections[0][0] == "_preamble_" and len(sections[0][1]) > without:
+        sections = [(f"_para_{i}", p) for i, p in enumerate(pack(paragraphs(sections[0][1]), without))]
+    number = 0
+    for label, body in sections:
+        pieces = [(label, body)]
+        if len(body) > most:
+            subs = [s for s in re.split(r"(?m)(?=^###\s)", body) if s.strip()]
+            if len(subs) > 1:
+                pieces = [(f"{label} / {s.partition(chr(10))[0].lstrip('# ').strip()}" if s.startswith("###") else label, s.strip()) for s in subs]
+            else:
+                pieces = [(f"{label} (Teil {i})", p) for i, p in enumerate(pack(paragraphs(body), group), 1)]
+        for name, piece in pieces:
+            yield number, name, piece
+            number += 1
+
+
+def hashed_embedding(text: str, dim: int = 64) -> list[float]:
+    """A stand-in for an embedding model: signed token hashing, unit length. Deterministic everywhere."""
+    import hashlib
+
+    v = [0.0] * dim
+    for token in re.findall(r"[^\W_]+", text.lower()):
+        h = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little")
+        v[h % dim] += 1.0 if h >> 63 else -1.0
+    n = sum(x * x for x in v) ** 0.5
+    return [x / n for x in v] if n else v
+
+
+def semantic_split(text: str | None, size: int = CHUNK_MAX, threshold: float = SEMANTIC_THRESHOLD, embed: Callable = hashed_embedding) -> Iterator[tuple[int, str]]:
+    """A new piece begins where it would grow too large or where neighbouring paragraphs are unlike."""
+    parts: list[str] = []
+    for p in paragraphs(text or ""):
+        while len(p) > size:
+            cut = max(p.rfind(". ", 0, size), p.rfind("\n", 0, size)) + 1 or size
+            parts.append(p[:cut].strip())
+            p = p[cut:].strip()
+        if p:
+            parts.append(p)
+    out: list[str] = []
+    last = None
+    for p in parts:
+        v = embed(p)
+        alike = last is not None and sum(a * b for a, b in zip(last, v, strict=True)) >= threshold
+        if out and alike and len(out[-1]) + 2 + len(p) <= size:
+            out[-1] += "\n\n" + p
+        else:
+            out.append(p)
+        last = v
+    yield from enumerate(out)
+
+
+def large_cuts(text: str, size: int) -> list[str]:
+    """Pieces of about ``size``: cut at the heading nearest to size - 200, else a blank line, a line, or hard."""
+    out = []
+    while len(text) > size:
+        aim = size - 200
+        heads = [m.start() for m in re.finditer(r"(?m)^#{1,6}\s", text[: aim + 401]) if m.start() >= aim - 200]
+        cut = min(heads, key=lambda h: abs(h - aim)) if heads else 0
+        for mark in ("\n\n", "\n"):
+            if cut <= 0:
+                cut = text.rfind(mark, 1, size)
+        if cut <= 0:
+            cut = size
+        out.append(text[:cut])
+        text = text[cut:]
+    return [*out, text] if text else out
+
+
+def head_tail(text: str, size: int, mark: str = "\n\n[…]\n\n") -> str:
+    if len(text) <= size:
+        return text
+    half = (size - len(mark)) // 2
+    return text[:half] + mark + text[-half:]
+
+
+def head_middle_tail(text: str, full: int = 30000, part: int = 10000, mark: str = "\n\n[…]\n\n") -> tuple[str, bool]:
+    if len(text) <= full:
+        return text, False
+    middle = (len(text) - part) // 2
+    return text[:part] + mark + text[middle : middle + part] + mark + text[-part:], True
+
+
+# Front matter
+
+
+def front_matter(text: str | None) -> tuple[dict[str, object], str]:
+    """The small YAML of pages: scalars, quoted values, block and inline lists, values that run on; nested maps are {}."""
+    m = re.match(r"(?s)\A---\n(.*?)\n---[ \t]*(?:\n|\Z)", text or "")
+    if not m:
+        return {}, text or ""
+    out: dict[str, object] = {}
+    key = None
+    for line in m[1].split("\n"):
+        top = re.match(r"^([A-Za-z_][\w-]*):\s*(.*)$", line)
+        item = re.match(r"^\s*-\s+(.*)$", line)
+        if top:
+            key, raw = top[1], top[2].strip()
+            if raw.startswith("[") and raw.endswith("]"):
+                out[key] = [_unquoted(x) for x in raw[1:-1].split(",") if x.strip()]
+            else:
+                out[key] = _unquoted(raw)
+        elif key and item:
+            if not isinstance(out[key], list):
+                out[key] = []
+            out[key].append(_unquoted(item[1]))  # type: ignore[union-attr]
+        elif key and re.match(r"^\s+[\w-]+:\s", line) and out[key] in ("", {}):
+            out[key] = {}
+        elif key and line.startswith(" ") and isinstance(out[key], str):
+            out[key] = f"{out[key]} {line.strip()}".strip()
+    return out, (text or "")[m.end() :]
+
+
+def _unquoted(value: str) -> str:
+    v = value.strip()
+    return v[1:-1] if len(v) >= 2 and v[0] == v[-1] and v[0] in "\"'" else v
+
+
+# Tables and numbers
+
+
+def _cells(line: str) -> list[str]:
+    return [c.strip() for c in line.strip().strip("|").split("|")]
+
+
+def tables(text: str | None) -> Iterator[tuple[int, list[str], list[list[str]]]]:
+    """(number, header, rows) of the pipe tables."""
+    lines = (text or "").split("\n")
+    number, i = 0, 0
+    while i + 1 < len(lines):
+        if lines[i].strip().startswith("|") and all(re.fullmatch(r":?-{2,}:?", c) for c in _cells(lines[i + 1])):
+            header, rows = _cells(lines[i]), []
+            i += 2
+            while i < len(lines) and lines[i].strip().startswith("|"):
+                rows.append(_cells(lines[i]))
+                i += 1
+            yield number, header, rows
+            number += 1
+        else:
+            i += 1
+
+
+_URL = re.compile(r"https?://\S+")
+_YEAR = re.compile(r"(?<![\d.,])(?:19|20)\d{2}(?![\d.,]\d|\d)")
+_NUMBER = re.compile(r"\d[\d.,  ]*\d|\d")
+
+
+def numbers(text: str | None) -> list[str]:
+    found = (n.strip(" ,. ") for n in _NUMBER.findall(_YEAR.sub(" ", _URL.sub(" ", text or ""))))
+    return list(dict.fromkeys(n for n in found if n))
+
+
+def number_forms(number: str) -> set[str]:
+    """The values a number as written can stand for: separators read both ways, and its integer part alone."""
+    n = number.replace(" ", " ").strip()
+    forms = {n.replace(" ", "")}
+    digits = re.sub(r"[^\d]", "", n)
+    last = max(n.rfind("."), n.rfind(","))
+    if last < 0:
+        forms.add(digits.lstrip("0") or "0")
+        return forms
+    whole, fraction = re.sub(r"[^\d]", "", n[:last]), n[last + 1 :].replace(" ", "")
+    whole = whole.lstrip("0") or "0"
+    if len(fraction) == 3 and (n.count(n[last]) > 1 or len(re.findall(r"[.,]", n)) == 1):
+        forms.add(digits.lstrip("0") or "0")
+    fraction = fraction.rstrip("0")
+    forms |= {whole, f"{whole}.{fraction}" if fraction else whole}
+    if fraction.lstrip("0"):
+        forms.add(f"{whole}.{fraction.lstrip('0')}")
+    return forms
+
+
+def ocr_decimal(text: str) -> str:
+    return re.sub(r"(\d) (?=\d{1,2}(?!\d))", r"\1,", text)
+
+
+def number_index(text: str | None) -> tuple[set[str], set[str]]:
+    """Forms of all numbers of a source, and the numbers of its reading with decimal commas restored."""
+    plain = {f for n in numbers(text) for f in number_forms(n)}
+    return plain, {n for n in numbers(ocr_decimal(text or ""))}
+
+
+def number_known(number: str, index: tuple[set[str], set[str]]) -> bool:
+    return bool(number_forms(number) & index[0]) or ocr_decimal(number) in index[1]
+
+
+def sister_number(number: str, index: tuple[set[str], set[str]]) -> str | None:
+    """For an integer, the smallest number of the decimal reading with that integer part and a fraction."""
+    if not re.fullmatch(r"\d{2,}", number):
+        return None
+    fits = sorted(n for n in index[1] if re.fullmatch(rf"{number},\d{{1,2}}", n))
+    return fits[0] if fits else None
+
+
+def table_issues(body: str | None, sources: list[str] | None) -> Iterator[tuple[int, str, str, str, str]]:
+    """(table, row label, header, number, cell) of numbers in cells that no source has. The first cell is the label."""
+    indexes = [number_index(s) for s in sources or [] if s]
+    for number, header, rows in tables(body):
+        for row in rows:
+            for at, cell in enumerate(row[1:], 1):
+                for n in numbers(cell):
+                    if not any(number_known(n, i) for i in indexes):
+                        yield number, row[0], header[at] if at < len(header) else "", n, cell
+
+
+# Patches
+
+
+def apply_patches(text: str | None, patches: list[tuple[str, str]]) -> tuple[str, list[str]]:
+    """Each original has to occur exactly once at its turn; what went wrong is listed."""
+    out, errors = text or "", []
+    for original, corrected in patches:
+        n = out.count(original) if original else 0
+        if n == 1:
+            out = out.replace(original, corrected)
+        else:
+            errors.append("empty original" if not original else "not found" if n == 0 else f"found {n} times")
+    return out, errors
+
+
+def valid_fixes(text: str, issues: list[dict]) -> tuple[list[tuple[str, str]], list[str]]:
+    """Fixes that may be applied: from the model, not empty, changing something, once in the text, not claimed yet."""
+    fixes, reasons, claimed = [], [], set()
+    for issue in issues:
+        fix = issue.get("fix") or {}
+        a, b = (fix.get("original") or "").strip("\n"), fix.get("corrected")
+        reason = (
+            "not from the model" if issue.get("origin", "llm") != "llm" else "no fix" if not fix else "empty" if not a or b is None else "no change" if a == b else "claimed" if a in claimed else "" if text.count(a) == 1 else "not found" if text.count(a) == 0 else "ambiguous"
+        )
+        reasons.append(reason)
+        if not reason:
+            claimed.add(a)
+            fixes.append((a, b))
+    return fixes, reasons
+
+
+# JSON out of answers
+
+
+def balanced_json(text: str) -> str | None:
+    """The first balanced object of a text, braces inside strings not counted."""
+    start = text.find("{")
+    while start >= 0:
+        depth, quoted, escaped = 0, False, False
+        for i in range(start, len(text)):
+            ch = text[i]
+            if quoted:
+                quoted, escaped = not (ch == '"' and not escaped), ch == "\\" and not escaped
+            elif ch == '"':
+                quoted = True
+            elif ch in "{}":
+                depth += 1 if ch == "{" else -1
+                if depth == 0:
+                    return text[start : i + 1]
+        start = text.find("{", start + 1)
+    return None
+
+
+def repaired_json(text: str) -> str:
+    t = re.sub(r"^\s*```(?:json)?\s*|\s*```\s*$", "", text.strip())
+    for quotes, plain in (("“”„‟", '"'), ("‘’", "'")):
+        t = re.sub(f"[{quotes}]", plain, t)
+    return re.sub(r",\s*([}\]])", r"\1", t)
+
+
+def parse_answer(text: str | None) -> tuple[str | None, str]:
+    """(normalised JSON object, reason it failed): as it is, repaired, then the longest balanced block first."""
+    if not (text or "").strip():
+        return None, "empty"
+    candidates = [text, repaired_json(text)]
+    block = balanced_json(repaired_json(text))
+    if block:
+        candidates.append(block)
+    blocks = sorted(re.findall(r"(?s)\{.*?\}", repaired_json(text)), key=len, reverse=True)
+    for c in (*candidates, *blocks):
+        try:
+            value = json.loads(c)
+        except ValueError:
+            continue
+        if isinstance(value, dict):
+            return json.dumps(value, ensure_ascii=False, sort_keys=True), ""
+    return None, "no object" if "{" not in text else "truncated" if block is None else "invalid"
+
+
+def auto_section(prompt: str, rules: list[str]) -> str:
+    """The automatic section of a prompt, replaced or appended."""
+    section = "[AUTO]\n" + "\n".join(f"- {r}" for r in rules) + "\n[/AUTO]"
+    return re.sub(r"(?s)\[AUTO\].*?\[/AUTO\]", lambda _: section, prompt, count=1) if "[AUTO]" in prompt else prompt.rstrip() + "\n\n" + section + "\n"
+
+
+# Small ones
+
+
+def lcs_ratio(a: str, b: str, most: int = 200) -> float:
+    a, b = a[:most], b[:most]
+    if not a or not b:
+        return 0.0
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1] / max(len(a), len(b))
+
+
+def street_address(label: str) -> str | None:
+    m = re.search(r"\b([A-ZÄÖÜ][\wäöüß.-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|steig|rain|pfad|gang|zeile|hang|ufer))\s+(\d+\s?[a-zA-Z]?)\b", label, re.IGNORECASE)
+    return f"{m[1]} {m[2]}" if m else None
+
+
+def text_hash31(text: str) -> int:
+    """The 31-fold rolling hash over UTF-16 units with 32-bit overflow, made positive."""
+    h = 0
+    data = text.encode("utf-16-le")
+    for i in range(0, len(data), 2):
+        h = (h * 31 + int.from_bytes(data[i : i + 2], "little")) & 0xFFFFFFFF
+    return abs(h - (1 << 32) if h >= 1 << 31 else h)
+
+
+def repaired_name(name: bytes) -> str:
+    """A file name in UTF-8, else in the Windows page, else in Latin-1."""
+    for page in ("utf-8", "cp1252", "latin-1"):
+        try:
+            return name.decode(page)
+        except UnicodeDecodeError:
+            continue
+    return name.decode("latin-1")
