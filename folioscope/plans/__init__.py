@@ -1,3 +1,3 @@
 """Registered queries. Importing this package fills the registry."""
 
-from folioscope.plans import orphans, search  # noqa: F401
+from folioscope.plans import graph, orphans, search  # noqa: F401
