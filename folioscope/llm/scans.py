@@ -35,7 +35,7 @@ _NOT_DIVIDED = {"und", "oder", "bzw", "sowie", "bis", "and", "or", "to", "y", "o
 _MARKDOWN = re.compile(r"^\s*(?:[-*•+]\s|#{1,6}\s|\||\d{1,3}[.)]\s|```|>)")
 _TREE = re.compile(r"[├└]─|│")
 #: What scanners take for what, (read, meant, cost).
-CONFUSIONS = (("c", "e", 0.2), ("v", "u", 0.2), ("9", "g", 0.2), ("5", "s", 0.2), ("1", "i", 0.2), ("1", "l", 0.2), ("l", "i", 0.4), ("0", "o", 0.2), ("li", "h", 0.2), ("rn", "m", 0.2), ("ii", "ü", 0.2), ("a'", "ä", 0.2), ("o'", "ö", 0.2), ("u'", "ü", 0.2), ("B", "ß", 0.2), ("8", "B", 0.2), ("cl", "d", 0.3), ("vv", "w", 0.3), ("6", "b", 0.3), ("f", "t", 0.6), ("h", "b", 0.6))
+CONFUSIONS = (("c", "e", 0.2), ("v", "u", 0.2), ("9", "g", 0.2), ("5", "s", 0.2), ("1", "i", 0.2), ("1", "l", 0.2), ("0", "o", 0.2), ("li", "h", 0.2), ("rn", "m", 0.2), ("ii", "ü", 0.2), ("a'", "ä", 0.2), ("o'", "ö", 0.2), ("u'", "ü", 0.2), ("B", "ß", 0.2), ("8", "B", 0.2), ("cl", "d", 0.3), ("vv", "w", 0.3), ("6", "b", 0.3))
 MOST_COST = 0.7
 _PAIRED = tuple(c for c in CONFUSIONS if len(c[0]) == 2)
 _INNER = re.compile(r"[^\W\d_][0158969]+[^\W\d_]|[^\W\d_]{2}[0159](?=$)|^[0158](?=[^\W\d_]{3})|[aouAOU]'[^\W\d_]{2}")
@@ -218,12 +218,16 @@ def _index(words: DataFrame) -> DataFrame:
     return folded.withColumn("key", F.explode(F.array_distinct(F.array_union(F.array("folded"), at)))).drop("folded")
 
 
-def corrections(page_words: DataFrame, counts: DataFrame, rare: int = 3, common: int = 8, ratio: int = 8) -> DataFrame:
-    """(word, candidate, cost, candidate_df) of rare words of pages; only verified candidates."""
-    seen = page_words.join(counts, "word", "left").select("word", F.coalesce("df", F.lit(0)).alias("df"))
-    suspects = seen.where(F.col("df") <= rare).select("word", "df")
+def corrections(page_words: DataFrame, counts: DataFrame, common: int = 8, ratio: int = 8, firm_ratio: int = 40, rare: int = 3) -> DataFrame:
+    """(word, candidate, cost, candidate_df) of words of pages; only verified candidates.
+
+    A candidate is in ``ratio`` times as many chunks as the word, in ``firm_ratio`` times as many where the
+    word itself is in more than ``rare`` of them, so that frequent misreads of a large corpus are found too.
+    """
+    suspects = page_words.join(counts, "word", "left").select("word", F.coalesce("df", F.lit(0)).alias("df"))
     lexicon = counts.where((F.col("df") >= common) & F.col("word").rlike(r"^\p{L}+$"))
-    found = _index(suspects).alias("s").join(_index(lexicon).alias("l"), "key").where(F.col("l.df") >= ratio * F.greatest(F.col("s.df"), F.lit(1)))
+    times = F.when(F.col("s.df") > rare, F.lit(firm_ratio)).otherwise(F.lit(ratio))
+    found = _index(suspects).alias("s").join(_index(lexicon).alias("l"), "key").where(F.col("l.df") >= times * F.greatest(F.col("s.df"), F.lit(1)))
     distinct = found.select(F.col("s.word").alias("word"), F.col("l.word").alias("candidate"), F.col("l.df").alias("candidate_df")).distinct()
     costed = distinct.where(F.abs(F.length("word") - F.length("candidate")) <= 3).withColumn("cost", _cost_column("word", "candidate"))
     return costed.where((F.col("cost") > 0.1) & (F.col("cost") < MOST_COST))
