@@ -1,3 +1,3 @@
 """Registered queries. Importing this package fills the registry."""
 
-from folioscope.plans import graph, orphans, resolution, search  # noqa: F401
+from folioscope.plans import chunking, documents, graph, maintenance, orphans, quality, resolution, search, streams  # noqa: F401
