@@ -64,19 +64,24 @@ def fuzzy_pairs(labels: DataFrame, least: int = FUZZY_SAME_TYPE, q: int = 3) ->
     allowed = F.floor(F.length("label") * (100 - least) / 100 / (least / 100)).cast("int")
     padded = F.concat(F.lit("\u0001"), "label", F.lit("\u0002"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (q - 1)), lambda i: F.substring(padded, i, F.lit(q))))
-    keys = [
-        (by_token.select("label", F.explode("tokens").alias("key"), F.size("tokens").alias("n")), F.col("n") - F.ceil(F.col("n") * least / 100) + 1),
-        (l.where(F.length("label") > 1).select("label", F.explode(grams).alias("key"), allowed.alias("n")), F.col("n") * q + 1),
-    ]
-    met = None
-    for listed, keep in keys:
-        listed = cut(listed)
-        frequency = listed.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-        ranked = listed.join(frequency, "key").groupBy("label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("r"))
-        prefix = ranked.select("label", F.explode(F.slice(F.col("r.key"), F.lit(1), keep.cast("int"))).alias("key"))
-        pairs = prefix.select(F.col("label").alias("a"), "key").join(prefix.select(F.col("label").alias("b"), "key"), "key").where("a < b").select("a", "b")
-        met = pairs if met is None else met.unionByName(pairs)
-    return met.distinct().where(T.fuzzy_bound("a", "b") >= least).withColumn("score", T.fuzzy_score("a", "b")).where(F.col("score") >= least)
+    listed_tokens = by_token.select("label", F.explode("tokens").alias("key"), F.size("tokens").alias("n"))
+    listed_grams = l.where(F.length("label") > 1).select("label", F.explode(grams).alias("key"), allowed.alias("n"))
+    edits = F.floor(F.greatest("la", "lb") * (100 - least) / 100)
+    # Each branch verifies what it stands for, before any other work on the pair.
+    by_tokens = _met(listed_tokens, F.col("n") - F.ceil(F.col("n") * least / 100) + 1, F.lit(True)).where(T.token_overlap("a", "b") >= least)
+    near = _met(listed_grams, F.col("n") * q + 1, F.abs(F.col("la") - F.col("lb")) <= F.least(edits, F.lit(20)))
+    by_edits = near.where(T.levenshtein_ratio("a", "b") >= least)
+    return by_tokens.unionByName(by_edits).distinct().withColumn("score", T.fuzzy_score("a", "b"))
+
+
+def _met(listed: DataFrame, keep: Column, within: Column) -> DataFrame:
+    """Pairs (a, b) of labels of lengths (la, lb) that share one of their ``keep`` rarest keys. ``listed``: (label, key, n)."""
+    listed = cut(listed)
+    frequency = listed.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    ranked = listed.join(frequency, "key").groupBy("label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("r"))
+    prefix = ranked.select("label", F.length("label").alias("size"), F.explode(F.slice(F.col("r.key"), F.lit(1), keep.cast("int"))).alias("key"))
+    sides = prefix.select(F.col("label").alias("a"), F.col("size").alias("la"), "key").join(prefix.select(F.col("label").alias("b"), F.col("size").alias("lb"), "key"), "key")
+    return sides.where(F.col("a") < F.col("b")).where(within).select("a", "b").distinct()
 
 
 def potential_duplicates(entities: DataFrame, least: int = FUZZY_SAME_TYPE) -> DataFrame:
