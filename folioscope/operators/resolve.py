@@ -81,7 +81,10 @@ def _met(listed: DataFrame, keep: Column, within: Column) -> DataFrame:
     ranked = listed.join(frequency, "key").groupBy("label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("r"))
     prefix = ranked.select("label", F.length("label").alias("size"), F.explode(F.slice(F.col("r.key"), F.lit(1), keep.cast("int"))).alias("key"))
     sides = prefix.select(F.col("label").alias("a"), F.col("size").alias("la"), "key").join(prefix.select(F.col("label").alias("b"), F.col("size").alias("lb"), "key"), "key")
-    return sides.where(F.col("a") < F.col("b")).where(within).select("a", "b").distinct()
+    # Verification is work per pair, not per byte: a stated number of partitions is not coalesced by size.
+    parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The cut also keeps the optimizer from verifying each pair once per key it shares.
+    return cut(sides.where(F.col("a") < F.col("b")).where(within).select("a", "b").repartition(parts, "a", "b").distinct())
 
 
 def potential_duplicates(entities: DataFrame, least: int = FUZZY_SAME_TYPE) -> DataFrame:
