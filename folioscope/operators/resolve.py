@@ -190,7 +190,7 @@ def resolve(probes: DataFrame, entities: DataFrame) -> DataFrame:
     cross = fuzzy.where((F.col("probe_type") != F.col("entity_type")) & (F.col("score") >= FUZZY_CROSS_TYPE)).select("probe_label", "probe_type", F.lit(3).alias("step"), "score", "id")
     best = exact.unionByName(nocase).unionByName(same).unionByName(cross).groupBy("probe_label", "probe_type").agg(F.min(F.struct("step", (-F.col("score")).alias("s"), "id")).alias("b"))
     method = F.element_at(F.array(*map(F.lit, ("id", "label", "fuzzy", "fuzzy_cross_type"))), F.col("b.step") + 1)
-    return p.join(best, ["probe_label", "probe_type"], "left").select("probe_label", "probe_type", F.col("b.id").alias("entity_id"), F.coalesce(method, F.lit("new")).alias("method"))
+    return p.join(best, ["probe_label", "probe_type"], "left").select("probe_label", "probe_type", F.col("b.id").alias("entity_id"), F.when(F.col("b").isNull(), F.lit("new")).otherwise(method).alias("method"))
 
 
 def embed_missing(entities: DataFrame, embed=None) -> DataFrame:  # noqa: ANN001

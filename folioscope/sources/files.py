@@ -109,7 +109,8 @@ class Config:
             n = int(value) if not isinstance(value, bool) and value is not None else default
         except (TypeError, ValueError):
             n = default
-        return max(least if least is not None else n, min(most if most is not None else n, n))
+        n = n if most is None else min(most, n)
+        return n if least is None else max(least, n)
 
     def flag(self, dotted: str, default: bool) -> bool:
         value = self.get(dotted)
