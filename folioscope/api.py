@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import folioscope.plans  # noqa: F401 - fills the registry
 from folioscope import tables
 from folioscope.functions.folds import hashed_embedding
 from folioscope.operators import graph as G
