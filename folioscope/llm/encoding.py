@@ -146,7 +146,7 @@ class Restorer:
             hits = 0
             for m in self.words.finditer(text):
                 word = m[0]
-                if word.casefold() in self.solid_folded or not any(table.get(ch) in self.evident and ch not in self.trusted for ch in word):
+                if len(word) < 3 or word.casefold() in self.solid_folded or not any(table.get(ch) in self.evident and ch not in self.trusted for ch in word):
                     continue
                 changed = "".join(table.get(ch, ch) for ch in word)
                 if changed.isalpha() and any(ch < "\x80" for ch in word) and all(ch in table or ch < "\x80" or ch in self.trusted for ch in word):

@@ -128,7 +128,7 @@ def point_edges(points: DataFrame, total: int, k: int, dim: int, at_least: float
 
 def folded(unit: DataFrame, k: int) -> DataFrame:
     """(point, vector, copies, first_ids): the k + 1 smallest ids of every point, by a limit per group before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy("point").orderBy("id"))
+    rank = F.dense_rank().over(Window.partitionBy("point").orderBy("id"))  # repeated ids count once
     first = unit.select("point", "id", "vector").withColumn("rank", rank).where(F.col("rank") <= k + 1)
     return first.groupBy("point").agg(F.min_by("vector", "id").alias("vector"), F.array_sort(F.collect_set("id")).alias("first_ids"))
 
