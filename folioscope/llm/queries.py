@@ -39,7 +39,20 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-@query("p5_found", operators="problem 5")
+_P5 = """
+WITH w AS (SELECT id, list_distinct(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) AS w FROM chunks),
+s AS (SELECT id, w, len(w) AS n FROM w WHERE len(w) >= 20),
+x AS (SELECT id, n, unnest(w) AS word FROM s),
+f AS (SELECT word, count(*) AS df FROM x GROUP BY word),
+r AS (SELECT id, n, word, row_number() OVER (PARTITION BY id ORDER BY df, word) AS rn FROM x JOIN f USING (word)),
+h AS (SELECT id, n, word FROM r WHERE rn <= n - ceil(0.8 * n) + 1),
+c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM h a JOIN h b ON a.word = b.word AND a.id < b.id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n),
+p AS (SELECT a, b, y.n + z.n AS n, len(list_intersect(y.w, z.w)) AS k FROM c JOIN s y ON y.id = a JOIN s z ON z.id = b)
+SELECT a AS chunk_id_a, b AS chunk_id_b FROM p WHERE 10 * k >= 8 * (n - k)
+"""
+
+
+@query("p5_found", _P5, "problem 5")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return covering.similar_pairs(table(spark, d, "chunks")).select(F.col("a_id").alias("chunk_id_a"), F.col("b_id").alias("chunk_id_b"))
 
