@@ -225,3 +225,31 @@ def entity_chunk_mentions(spark: SparkSession, d: str) -> DataFrame:
     e = active(entities(spark, d)).where("wiki_page IS NOT NULL AND length(label) > 3").select(F.col("id").alias("entity_id"), "label", "wiki_page")
     c = chunks(spark, d).where("kind = 'wiki'").select(F.col("id").alias("chunk_id"), F.concat_ws("/", "scope", "ref").alias("wiki_page"), "content")
     return c.join(e, "wiki_page").where(F.contains(F.lower("content"), F.lower("label"))).select("entity_id", "chunk_id")
+
+
+def _wiki_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("kind = 'wiki'").select(F.col("ref").alias("wiki_page"), "text")
+
+
+_LINKS = "w AS (SELECT ref, text, regexp_extract(text, '(?m)^title: (.*)$', 1) AS title FROM documents WHERE kind = 'wiki' AND regexp_matches(text, '(?s)^---\\n.*?\\n---(\\n|$)') AND regexp_matches(text, '(?m)^title: \\S')), l AS (SELECT DISTINCT title, unnest(regexp_extract_all(regexp_replace(text, '(?s)^---\\n(.*?)\\n---', ''), '\\[\\[([a-z0-9/-]+)(\\|[^\\]]*)?\\]\\]', 1)) AS slug FROM w)"
+
+
+@query("graph_build_links", f"WITH {_LINKS} SELECT title AS source, slug AS target FROM l", "G35 G28 T2")
+def graph_build_links(spark: SparkSession, d: str) -> DataFrame:
+    from folioscope.operators import build as B
+
+    return B.extracted(_wiki_texts(spark, d)).where("relation_type = 'REFERENZIERT'").select("source", "target").distinct()
+
+
+@query("graph_build_entities", operators="G31 G32 G35 D-1")
+def graph_build_entities(spark: SparkSession, d: str) -> DataFrame:
+    from folioscope.operators import build as B
+
+    return B.graph_of(B.extracted(_wiki_texts(spark, d)))[0]
+
+
+@query("graph_build_relations", operators="G31 G32 G28")
+def graph_build_relations(spark: SparkSession, d: str) -> DataFrame:
+    from folioscope.operators import build as B
+
+    return B.graph_of(B.extracted(_wiki_texts(spark, d)))[1]
