@@ -123,7 +123,8 @@ def point_edges(points: DataFrame, total: int, k: int, dim: int, at_least: float
         return pa.Table.from_arrays([pa.array(left[differ]), pa.array(right[differ]), pa.array(value[differ])], names=["point", "other", "similarity"])
 
     assigned = points.select("point", "vector").mapInArrow(assign, "shard long, indexed boolean, point long, vector binary")
-    return assigned.groupBy("shard").applyInArrow(link, EDGE)
+    # A shard is much work in few bytes: a stated number of partitions is not coalesced by size.
+    return assigned.repartition(2 * int(parts.sum()), "shard").groupBy("shard").applyInArrow(link, EDGE)
 
 
 def folded(unit: DataFrame, k: int) -> DataFrame:
@@ -184,6 +185,6 @@ def nearest_for_queries(rows: DataFrame, queries: DataFrame, k: int = 10, beam:
         differ = left != right
         return pa.Table.from_arrays([pa.array(left[differ]), pa.array(right[differ]), pa.array(value[differ])], names=["query_id", "neighbour", "similarity"])
 
-    found = indexed.unionByName(asked).groupBy("shard").applyInArrow(search, "query_id long, neighbour long, similarity float")
+    found = indexed.unionByName(asked).repartition(2 * shards, "shard").groupBy("shard").applyInArrow(search, "query_id long, neighbour long, similarity float")
     best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("s"), F.col("neighbour").alias("i")))), 1, k).alias("near"))
     return best.select("query_id", F.explode("near").alias("n")).select("query_id", F.col("n.i").alias("neighbour"), (-F.col("n.s")).alias("similarity"))
