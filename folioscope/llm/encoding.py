@@ -173,12 +173,12 @@ class Restorer:
         return bad, out
 
 
-def restored_fields(chunks: DataFrame, fields: tuple[str, ...] = ("content", "ref"), least_words: int = 8) -> DataFrame:
+def restored_fields(chunks: DataFrame, fields: tuple[str, ...] = ("content", "ref"), least_words: int = 8, forms: DataFrame | None = None) -> DataFrame:
     """(id, field_name, restored, complete): the garbled fields, restored as far as the learned chains go.
 
     ``complete`` is false where replacement characters are left.
     """
-    forms = cut(word_forms(chunks, fields))
+    forms = cut(word_forms(chunks, fields)) if forms is None else forms
     learned, alphabet = learn(forms, least_words)
     suspects = {g for chain in learned if chain[0][0] != "utf-8" for c in alphabet if (g := garble(c, chain)) and len(g) == 1 and ord(g) > 127}
     # A closed set: forms with one of a few characters that are frequent and unlike all their twins.
@@ -198,3 +198,32 @@ def restored_fields(chunks: DataFrame, fields: tuple[str, ...] = ("content", "re
 
     rows = field_rows(chunks, fields).where(F.col("text").rlike(r"[^\x00-\x7F]"))
     return rows.mapInArrow(restore, "id long, field_name string, restored string, complete boolean")
+
+
+def restored_with_twins(chunks: DataFrame, fields: tuple[str, ...] = ("content", "ref"), least_words: int = 8) -> DataFrame:
+    """``restored_fields``, and words with replacement characters taken from their clean twins.
+
+    A word is replaced if its letters outside ASCII are as many as its marks of loss and one clean form
+    of the same rest is in at least ten times as many fields as any other.
+    """
+    forms = cut(word_forms(chunks, fields))
+    found = cut(restored_fields(chunks, fields, least_words, forms))
+    word = rf"(?<![A-Za-z0-9])[A-Za-z0-9]*+{_LOST}(?:[A-Za-z0-9]|[^\x00-\x7F])*+"
+    lost = found.where("NOT complete").select("id", "field_name", F.explode(F.array_distinct(F.regexp_extract_all("restored", F.lit(word), F.lit(0)))).alias("form"))
+    shaped = lost.withColumn("stripped", F.regexp_replace("form", r"[^\x00-\x7F]", "")).withColumn("n", F.length("form"))
+    clean = forms.where(~F.contains("form", F.lit(_LOST)) & F.col("form").rlike(r"^[\p{L}]+$") & (F.length("stripped") > 0)).select("stripped", F.length("form").alias("n"), F.col("form").alias("clean"), "df")
+    ranked = clean.groupBy("stripped", "n").agg(F.max(F.struct("df", "clean")).alias("best"), F.sum("df").alias("all"))
+    sure = ranked.where((F.col("best.df") >= 3) & (F.col("best.df") >= 10 * (F.col("all") - F.col("best.df")))).select("stripped", "n", F.col("best.clean").alias("clean"))
+    pairs = shaped.join(sure, ["stripped", "n"]).groupBy("id", "field_name").agg(F.map_from_entries(F.collect_list(F.struct("form", "clean"))).alias("twins"))
+    joined = found.join(pairs, ["id", "field_name"], "left").select("id", "field_name", "restored", "twins")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pattern = re.compile(word.replace("*+", "*"))
+        for batch in batches:
+            out = []
+            for text, twins in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                known = dict(twins or ())
+                out.append(pattern.sub(lambda m, known=known: known.get(m[0], m[0]), text) if known else text)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([_LOST not in t for t in out], pa.bool_())], names=["id", "field_name", "restored", "complete"])
+
+    return joined.mapInArrow(apply, "id long, field_name string, restored string, complete boolean")

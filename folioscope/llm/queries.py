@@ -98,7 +98,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p6_restored", operators="problem 6")
 def p6_restored(spark: SparkSession, d: str) -> DataFrame:
-    return encoding.restored_fields(table(spark, d, "chunks")).select(F.col("id").alias("chunk_id"), "field_name", "restored", "complete")
+    return encoding.restored_with_twins(table(spark, d, "chunks")).select(F.col("id").alias("chunk_id"), "field_name", "restored", "complete")
 
 
 @query("p7_found", operators="problem 7")

@@ -37,6 +37,8 @@ _TREE = re.compile(r"[├└]─|│")
 #: What scanners take for what, (read, meant, cost).
 CONFUSIONS = (("c", "e", 0.2), ("v", "u", 0.2), ("9", "g", 0.2), ("5", "s", 0.2), ("1", "i", 0.2), ("1", "l", 0.2), ("0", "o", 0.2), ("li", "h", 0.2), ("rn", "m", 0.2), ("ii", "ü", 0.2), ("a'", "ä", 0.2), ("o'", "ö", 0.2), ("u'", "ü", 0.2), ("B", "ß", 0.2), ("8", "B", 0.2), ("cl", "d", 0.3), ("vv", "w", 0.3), ("6", "b", 0.3))
 MOST_COST = 0.7
+#: A table of bigrams is sent to all executors only if it has been counted and is not longer than this.
+BROADCAST_ROWS = 200_000
 _PAIRED = tuple(c for c in CONFUSIONS if len(c[0]) == 2)
 _INNER = re.compile(r"[^\W\d_][0158969]+[^\W\d_]|[^\W\d_]{2}[0159](?=$)|^[0158](?=[^\W\d_]{3})|[aouAOU]'[^\W\d_]{2}")
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
@@ -258,9 +260,13 @@ def repaired(chunks: DataFrame) -> DataFrame:
     """(id, repaired): pages with noise as continuous paragraphs."""
     looked, lines, fixes = evidence(chunks)
     uses = looked.select("id", F.explode("suspects").alias("s")).select("id", F.col("s.before").alias("before"), F.col("s.word").alias("word"))
-    options = uses.join(fixes, "word")
-    # Bigram context: how often each candidate follows the preceding word anywhere in the corpus.
-    needed = options.select(F.concat_ws(" ", "before", "candidate").alias("bigram")).distinct()
+    fixes = cut(fixes)
+    several = fixes.groupBy("word").agg((F.count(F.lit(1)) > 1).alias("several"))
+    options = cut(uses.join(fixes.join(several, "word"), "word"))
+    # Bigram context, where there is a choice: how often a candidate follows the preceding word anywhere in the corpus.
+    needed = cut(options.where("several").select(F.concat_ws(" ", "before", "candidate").alias("bigram")).distinct())
+    if needed.count() <= BROADCAST_ROWS:
+        needed = F.broadcast(needed)
     tokens = chunks.select(F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*+"), F.lit(0)).alias("w")).where(F.size("w") > 1)
     bigrams = tokens.select(F.explode(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).alias("bigram"))
     counted = bigrams.join(needed, "bigram", "left_semi").groupBy("bigram").agg(F.count(F.lit(1)).alias("follows"))

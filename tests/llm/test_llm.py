@@ -359,3 +359,9 @@ def test_limits_are_found(spark):
 
 def test_words_rule():
     assert re.findall(leakage.WORD, "a_b ü2 c-d") == ["a", "b", "ü2", "c", "d"]
+
+
+def test_lost_characters_come_from_twins(spark):
+    rows = [chunk(i, "Die Prüfung der Gärten") for i in range(20)] + [chunk(100, "Die Pr�fung der G�rten und H�ser"), chunk(101, "nichts")]
+    got = {r["id"]: (r["restored"], r["complete"]) for r in encoding.restored_with_twins(chunks(spark, rows)).collect()}
+    assert got == {100: ("Die Prüfung der Gärten und H�ser", False)}
