@@ -10,11 +10,17 @@ from folioscope.functions.vectors import scored
 
 
 def vector_search(chunks: DataFrame, query: list[float], k: int = 5, scopes: list[str] | None = None) -> DataFrame:
-    """The k chunks most similar to a query vector, ties by id; contents are fetched for these only."""
+    """The k chunks most similar to a query vector, ties by id; contents are fetched for these only.
+
+    The k narrow rows come to the driver, so that their ids reach the second scan as a pushed filter and
+    all other row groups of the contents are skipped.
+    """
     rows = chunks if scopes is None else chunks.where(F.col("scope").isin(scopes))
     narrow = scored(rows, query, "embedding", ["id", "scope", "kind", "ref", "section"]).withColumn("score", F.round("score", 6))
-    top = narrow.orderBy(F.desc("score"), "id").limit(k)
-    return rows.select("id", "content").join(F.broadcast(top), "id").select("id", "scope", "kind", "ref", "section", "score", "content")
+    found = narrow.orderBy(F.desc("score"), "id").limit(k)
+    best = found.collect()
+    top = chunks.sparkSession.createDataFrame(best, found.schema)
+    return rows.where(F.col("id").isin([r["id"] for r in best])).select("id", "content").join(F.broadcast(top), "id").select("id", "scope", "kind", "ref", "section", "score", "content")
 
 
 def scopes_of_session(keys: DataFrame, patterns: DataFrame) -> DataFrame:
