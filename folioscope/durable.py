@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in ``spark.checkpoint.dir``; only where none is set (tests), take a temporary one."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
+def _base(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; only where none is set and the master is local, a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not context.master.startswith("local"):
+    if not named and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="folioscope-checkpoint-"))
+    return named or tempfile.mkdtemp(prefix="folioscope-")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(_base(spark))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of this run that all executors see."""
+    return f"{_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.durable import shared_folder
 from folioscope.registry import query
 from folioscope.streaming import operators as S
 from folioscope.tables import table
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A folder of this run beside the checkpoints that executors share; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioscope-stream-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("stream_upsert", "SELECT scope, kind, ref, chunk_idx, max(id) AS id FROM chunks GROUP BY ALL", "R1 R2 R4")
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").select("id", "scope", "kind", "ref", "chunk_idx", "content")
-    source, target = _folder(spark, "deliveries"), _folder(spark, "snapshot")
+    source, target = shared_folder(spark, "deliveries"), shared_folder(spark, "snapshot")
     chunks.repartition(2).write.parquet(source)  # two deliveries
     stream = S.stream_of(spark, source, "id long, scope string, kind string, ref string, chunk_idx int, content string", 1)
     last: list[int] = []
@@ -32,7 +24,7 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
         each(batch, number)
         last.append(number)
 
-    S.run_available(stream, _folder(spark, "checkpoint"), keep)
+    S.run_available(stream, shared_folder(spark, "checkpoint"), keep)
     final = spark.read.parquet(f"{target}/v{last[-1]}")
     # Of equal contents the first id stays; the newest id of a key is what the batch twin reports.
     newest = chunks.groupBy("scope", "kind", "ref", "chunk_idx").agg(F.max("id").alias("id"))
