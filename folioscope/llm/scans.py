@@ -4,9 +4,9 @@
    not in whole paragraphs. Lines that hold only a page number, words divided at a line end, and lines
    that may be running headers are read off the layout. A header repeats in its document or has the
    form of a title beside a name; repeats are counted over all chunks of a ``ref``.
-2. Lexicon. Words are counted over all chunks. Rare words of pages are suspects. Suspects and frequent
-   words are folded (multi-character confusions become one character) and meet in a symmetric-delete
-   index: both sides are indexed under the folded word and under each of its deletions.
+2. Lexicon. Words are counted over all chunks. Words of pages are suspects of every word that is far
+   more frequent. Both sides are mapped to shapes, which confusions don't change, and meet in a
+   symmetric-delete index: each is entered under its shape and under each deletion of it.
 3. Verification. A candidate counts if the weighted edit distance is under ``MOST_COST``; confusion
    pairs of scanners are cheap, other edits are not. A digit or apostrophe between the letters of a word
    of a page is a misread in itself. Where several candidates remain, counts of the bigram with the
@@ -22,10 +22,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 from folioscope.durable import cut
 
@@ -143,7 +144,8 @@ class Page:
                 blank = True
                 continue
             if current:
-                m = HYPHEN.search(current)
+                tail = max(0, len(current) - 64)
+                m = HYPHEN.search(current, tail)
                 first = re.match(r"[^\W\d_]+", line)
                 if m and first and (m[2] != "-" or (first[0][0].islower() and first[0].lower() not in _NOT_DIVIDED)):
                     divided.append((m[1], first[0]))
@@ -201,38 +203,51 @@ def word_counts(chunks: DataFrame) -> DataFrame:
     return words.where(F.length("word").between(4, 40)).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
 
-@F.pandas_udf(StringType())
-def _fold_column(words):  # noqa: ANN001, ANN202
-    return words.map(fold)
-
+def shape(column: str | Column) -> Column:
+    """What a scanner may have seen: after marks are joined to their vowels, every character is mapped on
+    its own, so that what is read and what is meant have one shape for every confusion pair. Words of
+    different shapes differ by more than confusions.
+    """
+    out = F.lower(F.col(column) if isinstance(column, str) else column)
+    for meant, seen in (("a'", "ä"), ("o'", "ö"), ("u'", "ü"), ("h", "li"), ("m", "rn"), ("ü", "ii"), ("d", "cl"), ("w", "vv")):
+        out = F.replace(out, F.lit(meant), F.lit(seen))
+    return F.translate(out, "eugsiloßb6", "cv95110888")
 
-@F.pandas_udf(DoubleType())
-def _cost_column(read, meant):  # noqa: ANN001, ANN202
-    import pandas as pd
 
+def _costs(read: pd.Series, meant: pd.Series) -> pd.Series:
     return pd.Series([edit_cost(a, b) for a, b in zip(read, meant, strict=True)], dtype="float64")
 
 
-def _index(words: DataFrame) -> DataFrame:
-    """The words under their folded form and under each of its deletions."""
-    folded = words.withColumn("folded", _fold_column("word"))
-    at = F.transform(F.sequence(F.lit(1), F.length("folded")), lambda i: F.concat(F.substring(F.col("folded"), F.lit(1), i - 1), F.substring(F.col("folded"), i + 1, F.lit(60))))
-    return folded.withColumn("key", F.explode(F.array_distinct(F.array_union(F.array("folded"), at)))).drop("folded")
+#: Not deterministic for the optimizer, which would else move it below the ``distinct`` and repeat it per key.
+_cost_column = F.pandas_udf(_costs, DoubleType()).asNondeterministic()
+
+
+def _index(words: DataFrame, deleted: Column) -> DataFrame:
+    """The words under their shape and, where ``deleted`` says so, under each of its deletions."""
+    at = F.transform(F.sequence(F.lit(1), F.length("shape")), lambda i: F.concat(F.substring(F.col("shape"), F.lit(1), i - 1), F.substring(F.col("shape"), i + 1, F.lit(80))))
+    keys = F.when(deleted, F.array_distinct(F.array_union(F.array("shape"), at))).otherwise(F.array("shape"))
+    return words.withColumn("shape", shape("word")).withColumn("key", F.explode(keys))
 
 
 def corrections(page_words: DataFrame, counts: DataFrame, common: int = 8, ratio: int = 8, firm_ratio: int = 40, rare: int = 3) -> DataFrame:
     """(word, candidate, cost, candidate_df) of words of pages; only verified candidates.
 
     A candidate is in ``ratio`` times as many chunks as the word, in ``firm_ratio`` times as many where the
-    word itself is in more than ``rare`` of them, so that frequent misreads of a large corpus are found too.
+    word itself is in more than ``rare`` of them, so that frequent misreads of a large corpus are found
+    too. A word with a digit or an apostrophe is misread for certain; it may differ by a plain edit besides.
     """
-    suspects = page_words.join(counts, "word", "left").select("word", F.coalesce("df", F.lit(0)).alias("df"))
+    certain = F.col("word").rlike(r"\p{L}[0-9']|[0-9']\p{L}")
+    suspects = page_words.join(counts, "word", "left").select("word", F.coalesce("df", F.lit(0)).alias("df"), certain.alias("certain"))
     lexicon = counts.where((F.col("df") >= common) & F.col("word").rlike(r"^\p{L}+$"))
     times = F.when(F.col("s.df") > rare, F.lit(firm_ratio)).otherwise(F.lit(ratio))
-    found = _index(suspects).alias("s").join(_index(lexicon).alias("l"), "key").where(F.col("l.df") >= times * F.greatest(F.col("s.df"), F.lit(1)))
-    distinct = found.select(F.col("s.word").alias("word"), F.col("l.word").alias("candidate"), F.col("l.df").alias("candidate_df")).distinct()
+    met = _index(suspects, F.col("certain")).alias("s").join(_index(lexicon, F.lit(True)).alias("l"), "key")
+    alike = (F.col("s.shape") == F.col("l.shape")) & (F.col("key") == F.col("s.shape"))
+    near = F.col("s.certain") & (F.col("s.shape") != F.col("l.shape")) & (F.length("s.word") >= 8)
+    found = met.where((alike | near) & (F.col("s.word") != F.col("l.word"))).where(F.col("l.df") >= times * F.greatest(F.col("s.df"), F.lit(1)))
+    distinct = found.select(F.col("s.word").alias("word"), F.col("l.word").alias("candidate"), F.col("l.df").alias("candidate_df"), F.col("s.certain").alias("certain")).distinct()
     costed = distinct.where(F.abs(F.length("word") - F.length("candidate")) <= 3).withColumn("cost", _cost_column("word", "candidate"))
-    return costed.where((F.col("cost") > 0.1) & (F.col("cost") < MOST_COST))
+    most = F.when(F.col("certain"), F.lit(MOST_COST + 0.6)).otherwise(F.lit(MOST_COST))
+    return costed.where((F.col("cost") > 0.1) & (F.col("cost") < most)).select("word", "candidate", "cost", "candidate_df")
 
 
 def evidence(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -365,3 +365,10 @@ def test_lost_characters_come_from_twins(spark):
     rows = [chunk(i, "Die Prüfung der Gärten") for i in range(20)] + [chunk(100, "Die Pr�fung der G�rten und H�ser"), chunk(101, "nichts")]
     got = {r["id"]: (r["restored"], r["complete"]) for r in encoding.restored_with_twins(chunks(spark, rows)).collect()}
     assert got == {100: ("Die Prüfung der Gärten und H�ser", False)}
+
+
+def test_shapes_survive_confusions(spark):
+    words = ["Verbrauch", "Vermerk", "Küchenantrag", "größere", "Balkon", "deutlich", "Zähler", "Wohnung", "Hausgeld"]
+    rows = [(w.replace(m, r, 1), w) for w in words for r, m, _ in scans.CONFUSIONS if m in w]
+    df = spark.createDataFrame(rows, "a string, b string").where(scans.shape("a") != scans.shape("b"))
+    assert len(rows) > 30 and df.collect() == []
