@@ -4,7 +4,7 @@
    not in whole paragraphs. Lines that hold only a page number, words divided at a line end, and lines
    that may be running headers are read off the layout. A header repeats in its document or has the
    form of a title beside a name; repeats are counted over all chunks of a ``ref``.
-2. Lexicon. Words are counted over all chunks. Words of pages are suspects of every word that is far
+2. Lexicon. Words are counted over all distinct texts, so copies of a page weigh as one. Words of pages are suspects of every word that is far
    more frequent. Both sides are mapped to shapes, which confusions don't change, and meet in a
    symmetric-delete index: each is entered under its shape and under each deletion of it.
 3. Verification. A candidate counts if the weighted edit distance is under ``MOST_COST``; confusion
@@ -197,9 +197,15 @@ def pages(chunks: DataFrame) -> DataFrame:
     return rows.mapInArrow(look, _PAGE_ROW)
 
 
-def word_counts(chunks: DataFrame) -> DataFrame:
-    """(word, df) over all chunks."""
-    words = chunks.select(F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*+"), F.lit(0)))).alias("word"))
+def distinct_texts(chunks: DataFrame) -> DataFrame:
+    """(content) once per text, met by two independent hashes of it; copies are folded before the shuffle too."""
+    keys = F.xxhash64("content").alias("h"), F.xxhash64(F.lit(1), "content").alias("g")
+    return chunks.where(F.col("content").isNotNull()).select(*keys, "content").groupBy("h", "g").agg(F.first("content").alias("content")).select("content")
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, df) over all rows of ``texts``."""
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*+"), F.lit(0)))).alias("word"))
     return words.where(F.length("word").between(4, 40)).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -232,7 +238,7 @@ def _index(words: DataFrame, deleted: Column) -> DataFrame:
 def corrections(page_words: DataFrame, counts: DataFrame, common: int = 8, ratio: int = 8, firm_ratio: int = 40, rare: int = 3) -> DataFrame:
     """(word, candidate, cost, candidate_df) of words of pages; only verified candidates.
 
-    A candidate is in ``ratio`` times as many chunks as the word, in ``firm_ratio`` times as many where the
+    A candidate is in ``ratio`` times as many texts as the word, in ``firm_ratio`` times as many where the
     word itself is in more than ``rare`` of them, so that frequent misreads of a large corpus are found
     too. A word with a digit or an apostrophe is misread for certain; it may differ by a plain edit besides.
     """
@@ -250,17 +256,17 @@ def corrections(page_words: DataFrame, counts: DataFrame, common: int = 8, ratio
     return costed.where((F.col("cost") > 0.1) & (F.col("cost") < most)).select("word", "candidate", "cost", "candidate_df")
 
 
-def evidence(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def evidence(chunks: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pages, repeated headers (ref, line), and corrections (word, candidate, ...)."""
     looked = cut(pages(chunks))
     lines = looked.select("ref", F.explode("headers").alias("line")).groupBy("ref", "line").agg(F.count(F.lit(1)).alias("n")).where("n >= 2 and line != ''").select("ref", "line")
     words = looked.select(F.explode("suspects.word").alias("word")).distinct()
-    return looked, lines, corrections(words, word_counts(chunks))
+    return looked, lines, corrections(words, cut(word_counts(texts)))
 
 
 def noise(chunks: DataFrame) -> DataFrame:
     """(id, noise): one row per page and kind of noise it shows."""
-    looked, lines, fixes = evidence(chunks)
+    looked, lines, fixes = evidence(chunks, distinct_texts(chunks))
     repeated = looked.select("id", "ref", F.explode("headers").alias("line")).join(lines, ["ref", "line"], "left_semi").select("id")
     misread = looked.select("id", F.explode("suspects.word").alias("word")).join(fixes.select("word").distinct(), "word", "left_semi").select("id")
     kinds = [("hyphen", looked.where("hyphen").select("id")), ("page_number", looked.where("page_number").select("id")), ("header", looked.where("header").select("id").unionByName(repeated)), ("misread", looked.where("numbered").select("id").unionByName(misread))]
@@ -273,16 +279,17 @@ def noise(chunks: DataFrame) -> DataFrame:
 
 def repaired(chunks: DataFrame) -> DataFrame:
     """(id, repaired): pages with noise as continuous paragraphs."""
-    looked, lines, fixes = evidence(chunks)
+    texts = distinct_texts(chunks)
+    looked, lines, fixes = evidence(chunks, texts)
     uses = looked.select("id", F.explode("suspects").alias("s")).select("id", F.col("s.before").alias("before"), F.col("s.word").alias("word"))
     fixes = cut(fixes)
     several = fixes.groupBy("word").agg((F.count(F.lit(1)) > 1).alias("several"))
     options = cut(uses.join(fixes.join(several, "word"), "word"))
-    # Bigram context, where there is a choice: how often a candidate follows the preceding word anywhere in the corpus.
+    # Bigram context, where there is a choice: in how many places of distinct texts a candidate follows the preceding word.
     needed = cut(options.where("several").select(F.concat_ws(" ", "before", "candidate").alias("bigram")).distinct())
     if needed.count() <= BROADCAST_ROWS:
         needed = F.broadcast(needed)
-    tokens = chunks.select(F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*+"), F.lit(0)).alias("w")).where(F.size("w") > 1)
+    tokens = texts.select(F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*+"), F.lit(0)).alias("w")).where(F.size("w") > 1)
     bigrams = tokens.select(F.explode(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).alias("bigram"))
     counted = bigrams.join(needed, "bigram", "left_semi").groupBy("bigram").agg(F.count(F.lit(1)).alias("follows"))
     scored = options.withColumn("bigram", F.concat_ws(" ", "before", "candidate")).join(counted, "bigram", "left")

@@ -262,6 +262,15 @@ def test_noise_and_repair(spark):
     assert fixed[100].startswith("Nach dem Vertrag hat die Verwaltung die Abrechnung zunächst bestätigt und der Kunde")
 
 
+def test_copies_of_a_page_keep_its_misreads(spark):
+    clean = "Nach dem Vertrag hat die Verwaltung die Abrechnung zunächst bestätigt und geprüft. "
+    page = PAGE.replace("Verwaltung", "Verwaltvng")
+    rows = [chunk(i, clean + str(i)) for i in range(40)] + [chunk(100 + i, page, ref=f"r{i}") for i in range(20)]
+    c = chunks(spark, rows)
+    assert {r["id"] for r in scans.noise(c).where("noise = 'misread'").collect()} == set(range(100, 120))
+    assert all("die Verwaltung die" in r["repaired"] for r in scans.repaired(c).where("id >= 100").collect())
+
+
 # Names
 
 ENTITY = "id string, label string, entity_type string, description string, wiki_page string, created_at string, updated_at string, valid_until string"
