@@ -1,11 +1,14 @@
 """Text decoded with the wrong character encoding: found, and restored where it can be.
 
-1. Twins. All words with a character outside ASCII are counted by form. Forms that are equal once such
-   characters are stripped are twins; of these the form in most records is taken as clean. Aligning a
+1. Twins. All words with a character outside ASCII are counted by form, over distinct texts, so that
+   copies of a garbled text weigh as one. Forms that are equal once such
+   characters are stripped are twins; of these the form in most texts is taken as clean. Aligning a
    rarer form with its clean twin, the ASCII characters being the anchors, pairs garbled with clean runs.
 2. Transformations. A transformation is a chain of (encoded as, decoded as) steps over single-byte code
    pages and UTF-8. Every aligned pair votes for the chains that turn the clean run into the garbled one;
-   chains with enough distinct words behind them are learned, together with the clean alphabet.
+   chains with enough distinct words behind them are learned, together with the clean alphabet. A form
+   that a learned chain maps back through letters with more words behind them is no evidence for the
+   alphabet, nor solid, if the form it comes from occurs, or if only copies of few texts speak for it.
 3. The rest. The learned chains are applied to all records: runs that a chain through UTF-8 maps back
    to the clean alphabet are garbled anywhere; for chains between single-byte pages, where every
    character maps to something, a word is garbled if its characters map back to letters and the word
@@ -70,17 +73,44 @@ def field_rows(chunks: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 
 
 def word_forms(chunks: DataFrame, fields: tuple[str, ...] = ("content", "ref")) -> DataFrame:
-    """(form, stripped, df): words with characters outside ASCII and the number of fields that hold them."""
-    words = chunks.select(F.explode(F.array_distinct(F.flatten(F.array(*[F.coalesce(F.regexp_extract_all(f, F.lit(_WORD), F.lit(0)), F.array().cast("array<string>")) for f in fields])))).alias("form"))
-    counted = words.groupBy("form").agg(F.count(F.lit(1)).alias("df"))
-    return counted.where(F.length("form") <= 60).select("form", "df", F.regexp_replace("form", r"[^\x00-\x7F]", "").alias("stripped"))
-
-
-def learn(forms: DataFrame, least_words: int = 8) -> tuple[list[tuple[tuple[str, str], ...]], dict[str, int]]:
-    """The learned chains, and the clean alphabet with the number of words behind each character."""
+    """(form, stripped, df, uses): words with characters outside ASCII, and how many distinct texts and fields hold them."""
+    texts = field_rows(chunks, fields).where(F.col("text").rlike(r"[^\x00-\x7F]"))
+    # Two independent hashes stand for a text; its words are fewer bytes than the text itself.
+    held = texts.select(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.array_distinct(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).alias("forms"))
+    words = held.where(F.size("forms") > 0).groupBy("h", "g").agg(F.first("forms").alias("forms"), F.count(F.lit(1)).alias("copies")).select(F.explode("forms").alias("form"), "copies")
+    counted = words.groupBy("form").agg(F.count(F.lit(1)).alias("df"), F.sum("copies").alias("uses"))
+    return counted.where(F.length("form") <= 60).select("form", "df", "uses", F.regexp_replace("form", r"[^\x00-\x7F]", "").alias("stripped"))
+
+
+def back_tables(learned: list, alphabet: dict[str, int]) -> list[dict[str, str]]:
+    """Per single-byte chain, garbled to clean letters; only where more words are behind the clean one."""
+    tables = []
+    for chain in learned:
+        if chain[0][0] != "utf-8":
+            table = {g: c for c, n in alphabet.items() if ord(c) > 127 and (g := garble(c, chain)) and g != c and len(g) == 1 and ord(g) > 127 and n > alphabet.get(g, 0)}
+            if table:
+                tables.append(table)
+    return tables
+
+
+def garbled_forms(forms: DataFrame, learned: list, alphabet: dict[str, int], few: int = 5) -> DataFrame:
+    """(form): those that a learned single-byte chain maps back to a form that occurs, or, in fewer than ``few`` texts, to letters."""
+    tables = back_tables(learned, alphabet)
+    suspects = "".join(sorted({g for t in tables for g in t}))
+    if not suspects:
+        return forms.where(F.lit(False)).select("form")
+    held = forms.where(F.col("form").rlike("[" + re.escape(suspects) + "]"))
+    back = F.array(*[F.translate("form", "".join(t), "".join(t.values())) for t in tables])
+    maps = held.select("form", "df", F.explode(F.array_distinct(back)).alias("back")).where((F.col("form") != F.col("back")) & F.col("back").rlike(r"^\p{L}{3,}$"))
+    occurs = maps.join(forms.select(F.col("form").alias("back")), "back", "left_semi").select("form")
+    return occurs.unionByName(maps.where(F.col("df") < few).select("form")).distinct()
+
+
+def learn(forms: DataFrame, least_words: int = 8) -> tuple[list[tuple[tuple[str, str], ...]], dict[str, int], DataFrame]:
+    """The learned chains, the clean alphabet with the number of words behind each character, and the garbled forms."""
     twins = forms.where(F.length("stripped") >= 2)
-    clean = twins.groupBy("stripped").agg(F.max_by("form", F.struct("df", "form")).alias("clean"), F.max("df").alias("clean_df")).where("clean_df >= 3")
-    pairs = twins.join(clean, "stripped").where((F.col("form") != F.col("clean")) & (F.col("clean_df") >= 3 * F.col("df"))).select("form", "clean")
+    clean = twins.groupBy("stripped").agg(F.max(F.struct("df", "uses", "form")).alias("best")).select("stripped", F.col("best.form").alias("clean"), F.col("best.df").alias("clean_df"), F.col("best.uses").alias("clean_uses")).where("clean_uses >= 3")
+    pairs = twins.join(clean, "stripped").where((F.col("form") != F.col("clean")) & ((F.col("clean_df") >= 3 * F.col("df")) | (F.col("clean_uses") >= 3 * F.col("uses")))).select("form", "clean")
     possible = chains()
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,16 +126,22 @@ def learn(forms: DataFrame, least_words: int = 8) -> tuple[list[tuple[tuple[str,
 
     votes = pairs.mapInArrow(vote, "chain int, words long").groupBy("chain").agg(F.sum("words").alias("words")).collect()
     found = [possible[r["chain"]] for r in sorted(votes, key=lambda r: r["chain"]) if r["words"] >= least_words]
-    # Characters of forms that are the clean twin of something, or stand alone in many records.
-    solid = clean.where("clean_df >= 5").select(F.explode(F.array_distinct(F.split(F.regexp_replace("clean", r"[\x00-\x7F]", ""), ""))).alias("c")).where("c != ''")
+    # Characters of forms that are the clean twin of something, or stand alone in many texts: at first of
+    # all such forms, then without those that turn out to be garbled.
+    garbled = cut(garbled_forms(forms, found, _alphabet(forms, clean)))
+    return found, _alphabet(forms, clean.join(garbled, F.col("clean") == F.col("form"), "left_anti")), garbled
+
+
+def _alphabet(forms: DataFrame, clean: DataFrame) -> dict[str, int]:
+    solid = clean.where("clean_uses >= 5").select(F.explode(F.array_distinct(F.split(F.regexp_replace("clean", r"[\x00-\x7F]", ""), ""))).alias("c")).where("c != ''")
     signs = forms.where((F.length("stripped") <= 1) & (F.col("df") >= 5)).select(F.explode(F.array_distinct(F.split("form", ""))).alias("c")).where("c != ''")
-    alphabet = {r["c"]: r["n"] for r in solid.unionByName(signs).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect() if r["c"] != _LOST}
-    return found, alphabet
+    return {r["c"]: r["n"] for r in solid.unionByName(signs).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect() if r["c"] != _LOST}
 
 
-def solid_forms(forms: DataFrame, suspects: set[str], least: int = 10) -> DataFrame:
-    """Forms that hold a suspect character and are still the clean form of their twins."""
+def solid_forms(forms: DataFrame, suspects: set[str], garbled: DataFrame, least: int = 10) -> DataFrame:
+    """Forms that hold a suspect character, are not known as garbled and are the clean form of their twins."""
     held = forms.where(F.col("form").rlike("[" + re.escape("".join(sorted(suspects))) + "]")) if suspects else forms.where(F.lit(False))
+    held = held.join(garbled, "form", "left_anti")
     best = forms.groupBy("stripped").agg(F.max("df").alias("best"))
     return held.where(F.col("df") >= least).join(best, "stripped").where(F.col("df") == F.col("best")).select("form")
 
@@ -179,10 +215,10 @@ def restored_fields(chunks: DataFrame, fields: tuple[str, ...] = ("content", "re
     ``complete`` is false where replacement characters are left.
     """
     forms = cut(word_forms(chunks, fields)) if forms is None else forms
-    learned, alphabet = learn(forms, least_words)
+    learned, alphabet, garbled = learn(forms, least_words)
     suspects = {g for chain in learned if chain[0][0] != "utf-8" for c in alphabet if (g := garble(c, chain)) and len(g) == 1 and ord(g) > 127}
     # A closed set: forms with one of a few characters that are frequent and unlike all their twins.
-    solid = {r[0] for r in solid_forms(forms, suspects).collect()}
+    solid = {r[0] for r in solid_forms(forms, suspects, garbled).collect()}
     shared = chunks.sparkSession.sparkContext.broadcast((learned, alphabet, solid))
 
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,16 +240,16 @@ def restored_with_twins(chunks: DataFrame, fields: tuple[str, ...] = ("content",
     """``restored_fields``, and words with replacement characters taken from their clean twins.
 
     A word is replaced if its letters outside ASCII are as many as its marks of loss and one clean form
-    of the same rest is in at least ten times as many fields as any other.
+    of the same rest is in at least ten times as many distinct texts as any other.
     """
     forms = cut(word_forms(chunks, fields))
     found = cut(restored_fields(chunks, fields, least_words, forms))
     word = rf"(?<![A-Za-z0-9])[A-Za-z0-9]*+{_LOST}(?:[A-Za-z0-9]|[^\x00-\x7F])*+"
     lost = found.where("NOT complete").select("id", "field_name", F.explode(F.array_distinct(F.regexp_extract_all("restored", F.lit(word), F.lit(0)))).alias("form"))
     shaped = lost.withColumn("stripped", F.regexp_replace("form", r"[^\x00-\x7F]", "")).withColumn("n", F.length("form"))
-    clean = forms.where(~F.contains("form", F.lit(_LOST)) & F.col("form").rlike(r"^[\p{L}]+$") & (F.length("stripped") > 0)).select("stripped", F.length("form").alias("n"), F.col("form").alias("clean"), "df")
-    ranked = clean.groupBy("stripped", "n").agg(F.max(F.struct("df", "clean")).alias("best"), F.sum("df").alias("all"))
-    sure = ranked.where((F.col("best.df") >= 3) & (F.col("best.df") >= 10 * (F.col("all") - F.col("best.df")))).select("stripped", "n", F.col("best.clean").alias("clean"))
+    clean = forms.where(~F.contains("form", F.lit(_LOST)) & F.col("form").rlike(r"^[\p{L}]+$") & (F.length("stripped") > 0)).select("stripped", F.length("form").alias("n"), F.col("form").alias("clean"), "df", "uses")
+    ranked = clean.groupBy("stripped", "n").agg(F.max(F.struct("df", "uses", "clean")).alias("best"), F.sum("df").alias("all"))
+    sure = ranked.where((F.col("best.uses") >= 3) & (F.col("best.df") >= 10 * (F.col("all") - F.col("best.df")))).select("stripped", "n", F.col("best.clean").alias("clean"))
     pairs = shaped.join(sure, ["stripped", "n"]).groupBy("id", "field_name").agg(F.map_from_entries(F.collect_list(F.struct("form", "clean"))).alias("twins"))
     joined = found.join(pairs, ["id", "field_name"], "left").select("id", "field_name", "restored", "twins")
 

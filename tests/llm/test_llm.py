@@ -231,6 +231,22 @@ def test_chains_are_learned_from_twins(spark):
     assert got[100, "content"] == got[200, "content"] == " ".join(words) and got[300, "content"] == "Neue Häuser" and got[302, "ref"] == "Müll"
 
 
+WORDS = ["Prüfung", "Gärten", "Möbel", "Straße", "Zähler", "Förderung", "Übergabe", "Kündigung", "Rücklage", "Schätzung", "Erklärung", "Gebühr"]
+
+
+@pytest.mark.parametrize("mark", ["", " {}"])
+def test_copies_of_a_garbled_text_are_found(spark, mark):
+    """Copies, and near copies that differ by a number, of a text whose words are rarer elsewhere."""
+    chain = (("cp1252", "cp850"),)
+    rare = "Wärmedämmung Nebengebäudefläche"
+    rows = [chunk(i, " ".join(WORDS) + f" {i}") for i in range(40)] + [chunk(50 + i, f"{rare} {i}") for i in range(4)]
+    rows += [chunk(80 + i, encoding.garble(" ".join(WORDS) + f" {i}", chain)) for i in range(3)]
+    rows += [chunk(100 + i, encoding.garble(rare, chain) + mark.format(i)) for i in range(30)]
+    got = {r["id"]: r["restored"] for r in encoding.restored_fields(chunks(spark, rows)).where("field_name = 'content'").collect()}
+    assert set(got) == {*range(80, 83), *range(100, 130)}
+    assert got[100] == rare + mark.format(0)
+
+
 # Scans
 
 PAGE = "Mietvertrag Tarnitz – Huber Wohnbau\nNach dem Vertrag hat die Verwaltung die Abrech-\nnung zunächst bestätigt und der Kunde hat die\nRechnung am Montag ohne Abzug bezahlt, bevor der\n- 12 -\n\nMietvertrag Tarnitz – Huber Wohnbau\nVermieter die Unterlagen geprüft und dann alles\nan die Bank weitergeleitet hat."
