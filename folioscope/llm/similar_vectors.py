@@ -167,24 +167,32 @@ def similar_pairs(rows: DataFrame, at_least: float = 0.9, k: int = 10, **options
 def nearest_for_queries(rows: DataFrame, queries: DataFrame, k: int = 10, beam: int = 96, id_column: str = "id", vector_column: str = "embedding", dim: int = 64, shard: int = SHARD) -> DataFrame:
     """(query_id, neighbour, similarity): beam search of every query in every shard, merged to the k best.
 
-    Shards are hash partitions here, each with a graph over all its rows; queries are sent to all of them.
+    Shards are hash partitions of the points here, each with a graph over all its points; queries, equal
+    ones once, are sent to all of them. The ids of the points found are joined afterwards.
     """
     total = rows.where(F.size(vector_column) == dim).count()
     shards = max(1, -(-total // shard))
-    base = unit_points(rows, id_column, vector_column, dim)
-    indexed = base.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.lit(True).alias("indexed"), "id", "vector")
-    asked = unit_points(queries, id_column, vector_column, dim).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(False).alias("indexed"), "id", "vector")
+    points = folded(unit_points(rows, id_column, vector_column, dim), k)
+    indexed = points.select(F.pmod(F.xxhash64("point"), F.lit(shards)).alias("shard"), F.lit(True).alias("indexed"), "point", "vector")
+    asked = unit_points(queries, id_column, vector_column, dim)
+    once = asked.groupBy("point").agg(F.min_by("vector", "id").alias("vector"))
+    sent = once.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(False).alias("indexed"), "point", "vector")
 
     def search(group: pa.Table) -> pa.Table:
-        ids, own = group.column("id").to_numpy(), group.column("indexed").to_numpy(zero_copy_only=False)
+        ids, own = group.column("point").to_numpy(), group.column("indexed").to_numpy(zero_copy_only=False)
         x = _matrix(group.column("vector"), dim)
         near, sims = VectorGraph(x[own]).query(x[~own], k + 1, beam)
         left, right, value = np.repeat(ids[~own], k + 1), near.ravel(), sims.ravel()
         good = right >= 0
-        left, right, value = left[good], ids[own][right[good]], value[good]
-        differ = left != right
-        return pa.Table.from_arrays([pa.array(left[differ]), pa.array(right[differ]), pa.array(value[differ])], names=["query_id", "neighbour", "similarity"])
+        return pa.Table.from_arrays([pa.array(left[good]), pa.array(ids[own][right[good]]), pa.array(value[good])], names=["point", "other", "similarity"])
 
-    found = indexed.unionByName(asked).repartition(2 * shards, "shard").groupBy("shard").applyInArrow(search, "query_id long, neighbour long, similarity float")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("s"), F.col("neighbour").alias("i")))), 1, k).alias("near"))
-    return best.select("query_id", F.explode("near").alias("n")).select("query_id", F.col("n.i").alias("neighbour"), (-F.col("n.s")).alias("similarity"))
+    found = indexed.unionByName(sent).repartition(2 * shards, "shard").groupBy("shard").applyInArrow(search, EDGE)
+    best = (
+        found.join(points.select(F.col("point").alias("other"), "first_ids"), "other")
+        .groupBy("point").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col("first_ids").alias("ids")))), 1, k + 1).alias("near"))
+    )
+    # The k + 1 best ids of a query point, of which one can be the query itself.
+    lists = best.select("point", F.slice(F.array_sort(F.flatten(F.transform("near", lambda n: F.transform(n["ids"], lambda i: F.struct(n["s"].alias("s"), i.alias("i")))))), 1, k + 1).alias("near"))
+    each = asked.select(F.col("id").alias("query_id"), "point").distinct().join(lists, "point").select("query_id", F.explode("near").alias("n")).where(F.col("n.i") != F.col("query_id"))
+    merged = each.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set("n")), 1, k).alias("near"))
+    return merged.select("query_id", F.explode("near").alias("n")).select("query_id", F.col("n.i").alias("neighbour"), (-F.col("n.s")).alias("similarity"))

@@ -103,6 +103,14 @@ def test_vector_cases(spark):
     assert similar_vectors.similar_pairs(chunks(spark, rows[:1]), dim=4).count() == 0
 
 
+def test_queries_in_a_large_group_get_its_smallest_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = [chunk(i, embedding=[1.0, 2.0, 0.0, 0.0]) for i in range(1, 601)] + [chunk(1000 + i, embedding=rng.normal(size=4).tolist()) for i in range(600)]
+    c = chunks(spark, rows)
+    got = similar_vectors.nearest_for_queries(c, c.where("id IN (3, 300, 600)"), dim=4).collect()
+    assert {(r["query_id"], r["neighbour"]) for r in got} == {(q, n) for q in (3, 300, 600) for n in [i for i in range(1, 12) if i != q][:10]}
+
+
 # Near duplicates
 
 
