@@ -70,6 +70,15 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return similar_vectors.nearest_for_queries(c, c.where(F.col("id") % 100 == 0))
 
 
+@query("p1_recall", operators="problem 1")
+def p1_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall at 10 of the operator behind ``p1_found``, without its limit of similarity, over all chunks whose id is divisible by 100."""
+    c = table(spark, d, "chunks")
+    queries = c.where(F.col("id") % 100 == 0)
+    found = similar_vectors.nearest_neighbours(c).select(F.col("id").alias("query_id"), "similarity")
+    return similar_vectors.recall(found, similar_vectors.exact_for_queries(c, queries), queries)
+
+
 @query("p10_found", operators="problem 10")
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(table(spark, d, "documents")).where("cut").select("doc_id").distinct()
