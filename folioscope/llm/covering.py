@@ -12,9 +12,11 @@ No pair within the radius can be missed, whatever the random bits.
 A text is hashed in the class of its own size and in the classes a larger partner can lie in. The
 signatures of a batch are packed per partition of the signature space: per text its set hash, its size
 and a 128-bit parity sketch, whose Hamming distance never exceeds the number of differing words, then
-its signatures. Texts with equal word sets are one set from the start, so a group of copies, however
-large, is one entry; runs of one signature that are longer than ``run_limit`` are compared in pairs of
-bounded blocks by a second pass. Candidate pairs are verified on the word sets. Words are compared by
+its signatures. There are as many partitions as keep one under ``GROUP_BYTES``, by a count of all
+signatures from the histogram of sizes. Texts with equal word sets are one set from the start, so a group
+of copies, however large, is one entry. Signatures that a bounded sample of sets shows to be shared by
+many times ``run_limit`` sets never enter a partition: they go to the second pass at once, as do runs
+longer than ``run_limit`` that are found later. That pass compares pairs of bounded blocks. Candidate pairs are verified on the word sets. Words are compared by
 32-bit hashes: two different words of one pair of texts are taken for one in about one of a million pairs.
 
 Defined cases: null contents and contents with fewer than ``min_words`` distinct words take no part;
@@ -35,6 +37,9 @@ from pyspark.sql import functions as F
 from folioscope.durable import cut
 
 _CLASS_RATIO = 1.5
+#: Bytes of one partition of the signature space, sets in the sample for hot signatures, and how often one
+#: has to occur in the sample at least.
+GROUP_BYTES, HOT_SAMPLE, HOT_LEAST = 64_000_000, 20_000, 8
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -179,20 +184,71 @@ def word_sets(rows: DataFrame, id_column: str, text_column: str, min_words: int)
     )
 
 
-def candidate_sets(sets: DataFrame, parts: int, min_words: int, threshold: float, kept: float, run_limit: int) -> DataFrame:
+def signature_bytes(sizes: dict[int, int], min_words: int, threshold: float, kept: float) -> int:
+    """Bytes of all packed signatures, if no two of a set share a partition. ``sizes``: sets per number of words."""
+    total = 0
+    for size, sets in sizes.items():
+        own, furthest = (int(class_numbers(np.array([n]), min_words)[0]) for n in (size, int(size / threshold + 1e-9)))
+        classes = [size_class(number, min_words, threshold, kept) for number in range(own, furthest + 1)]
+        total += sets * 36 * sum(c.blocks * (2 ** (c.rho + 1) - 1) for c in classes)
+    return total
+
+
+def hot_signatures(sets: DataFrame, total: int, min_words: int, threshold: float, kept: float, run_limit: int) -> dict[int, int]:
+    """Signatures that a sample of at most ``HOT_SAMPLE`` sets shows to have over 4 ``run_limit`` entries, and into how many blocks they go."""
+    fraction = min(1.0, HOT_SAMPLE / max(total, 1))
+    sample = sets.where(F.pmod(F.xxhash64("set_hash"), F.lit(1_000_000)) < int(fraction * 1_000_000)).select("words").limit(HOT_SAMPLE).toArrow().column("words").combine_chunks()
+    least = max(HOT_LEAST, 4 * run_limit * fraction)
+    if len(sample) < least:
+        return {}
+    counts: dict[int, int] = {}
+    for at in range(0, len(sample), 1000):
+        part = sample.slice(at, 1000)
+        words, sizes = part.flatten().to_numpy().astype(np.uint32).astype(np.uint64), part.value_lengths().to_numpy().astype(np.int64)
+        there, times = np.unique(batch_signatures(words, sizes, min_words, threshold, kept)[1], return_counts=True)
+        # What is as frequent as asked for in all of the sample is so in some slice of it.
+        often = times >= least * len(part) / len(sample) / 4
+        for signature, n in zip(there[often].tolist(), times[often].tolist(), strict=True):
+            counts[signature] = counts.get(signature, 0) + n
+    return {signature: -(-int(n / fraction) // (run_limit // 2)) for signature, n in counts.items() if n >= least}
+
+
+def candidate_sets(sets: DataFrame, min_words: int, threshold: float, kept: float, run_limit: int, parts: int | None = None) -> DataFrame:
     """Pairs (a, b) of set hashes that collide under a mask and pass the sketch; ``sets`` holds each set once."""
+    spark = sets.sparkSession
+    sizes = {r["n"]: r["count"] for r in sets.groupBy(F.size("words").alias("n")).count().collect()}
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-signature_bytes(sizes, min_words, threshold, kept) // GROUP_BYTES))
+    frequent = hot_signatures(sets, sum(sizes.values()), min_words, threshold, kept, run_limit)
+    hot_keys = np.array(sorted(frequent), np.uint64)
+    hot_blocks = np.array([frequent[k] for k in sorted(frequent)], np.int32)
+
+    def hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            array = batch.column(1)
+            words, sizes = array.flatten().to_numpy().astype(np.uint32).astype(np.uint64), array.value_lengths().to_numpy().astype(np.int64)
+            if not len(sizes):
+                continue
+            doc, signature = batch_signatures(words, sizes, min_words, threshold, kept)
+            at = np.minimum(np.searchsorted(hot_keys, signature), len(hot_keys) - 1)
+            is_hot = hot_keys[at] == signature
+            doc, at, sketch = doc[is_hot], at[is_hot], parity_sketch(words, sizes).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hot_keys[at].view(np.int64)), pa.array(batch.column(0).to_numpy()[doc]), pa.array(sketch[doc, 0].copy()), pa.array(sketch[doc, 1].copy()), pa.array(sizes[doc].astype(np.int32)), pa.array(hot_blocks[at])],
+                names=["run", "a", "low_sketch", "high_sketch", "size", "blocks"],
+            )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             array = batch.column(1)
-            offsets = array.offsets.to_numpy()
-            words = array.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.uint32).astype(np.uint64)
-            sizes = np.diff(offsets).astype(np.int64)
+            words, sizes = array.flatten().to_numpy().astype(np.uint32).astype(np.uint64), array.value_lengths().to_numpy().astype(np.int64)
             sketch = parity_sketch(words, sizes)
             hashes = batch.column(0).to_numpy()
             doc, signature = batch_signatures(words, sizes, min_words, threshold, kept)
+            if len(hot_keys):
+                cold = hot_keys[np.minimum(np.searchsorted(hot_keys, signature), len(hot_keys) - 1)] != signature
+                doc, signature = doc[cold], signature[cold]
             part = (signature % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part * len(sizes) + doc, kind="stable")
             doc, part, key = doc[order], part[order], (signature[order] >> np.uint64(32)).astype(np.uint32)
@@ -203,7 +259,7 @@ def candidate_sets(sets: DataFrame, parts: int, min_words: int, threshold: float
                 there, counts = np.unique(d, return_counts=True)
                 head = np.array([len(there), len(k)], np.uint32)
                 numbers.append(p)
-                blobs.append(b"".join(x.tobytes() for x in (head, hashes[there], sketch[there, 0], sketch[there, 1], sizes[there].astype(np.uint32), counts.astype(np.uint16), k)))
+                blobs.append(b"".join(x.tobytes() for x in (head, hashes[there], sketch[there, 0], sketch[there, 1], sizes[there].astype(np.uint32), counts.astype(np.uint32), k)))
             yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     def unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -212,7 +268,7 @@ def candidate_sets(sets: DataFrame, parts: int, min_words: int, threshold: float
             n, k = np.frombuffer(blob, np.uint32, 2)
             at = 8
             parts_of = []
-            for kind, count in ((np.int64, n), (np.uint64, n), (np.uint64, n), (np.uint32, n), (np.uint16, n), (np.uint32, k)):
+            for kind, count in ((np.int64, n), (np.uint64, n), (np.uint64, n), (np.uint32, n), (np.uint32, n), (np.uint32, k)):
                 parts_of.append(np.frombuffer(blob, kind, count, at))
                 at += np.dtype(kind).itemsize * int(count)
             times = parts_of[4].astype(np.int64)
@@ -273,8 +329,12 @@ def candidate_sets(sets: DataFrame, parts: int, min_words: int, threshold: float
         return pa.Table.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
     packed = sets.select("set_hash", "words").mapInArrow(pack, "part int, blob binary")
-    collided = cut(packed.groupBy("part").applyInArrow(collide, schema))
-    hot = collided.where(F.col("b").isNull()).select("run", "a", "low_sketch", "high_sketch", "size", "blocks").distinct()
+    collided = cut(packed.repartition(parts, "part").groupBy("part").applyInArrow(collide, schema))
+    columns = ["run", "a", "low_sketch", "high_sketch", "size", "blocks"]
+    hot = collided.where(F.col("b").isNull()).select(columns)
+    if frequent:
+        hot = hot.unionByName(sets.select("set_hash", "words").mapInArrow(hot_rows, "run long, a long, low_sketch long, high_sketch long, size int, blocks int"))
+    hot = hot.distinct()
     own = F.pmod(F.xxhash64("a"), F.col("blocks").cast("long")).cast("int")
     spread = hot.select("run", "a", "low_sketch", "high_sketch", "size", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "run", "a", "low_sketch", "high_sketch", "size", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
@@ -285,11 +345,9 @@ def candidate_sets(sets: DataFrame, parts: int, min_words: int, threshold: float
 
 def similar_sets(rows: DataFrame, id_column: str = "id", text_column: str = "content", min_words: int = 20, threshold: float = 0.8, kept: float = 5.5, run_limit: int = 4000) -> tuple[DataFrame, DataFrame]:
     """Members (id, set_hash) and verified pairs (a, b, similarity) of different word sets."""
-    spark = rows.sparkSession
-    base = word_sets(rows, id_column, text_column, min_words)
+    base = cut(word_sets(rows, id_column, text_column, min_words))
     sets = base.groupBy("set_hash").agg(F.first("words").alias("words"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = candidate_sets(sets, parts, min_words, threshold, kept, run_limit)
+    pairs = candidate_sets(sets, min_words, threshold, kept, run_limit)
     with_a = pairs.join(sets.select(F.col("set_hash").alias("a"), F.col("words").alias("words_a")), "a")
     both = with_a.join(sets.select(F.col("set_hash").alias("b"), F.col("words").alias("words_b")), "b")
     common = F.size(F.array_intersect("words_a", "words_b"))

@@ -221,7 +221,7 @@ def nearest_neighbours(rows: DataFrame, k: int = 10, at_least: float = -1.0, id_
     """(id, neighbour, similarity): for every row its k most similar rows with at least that cosine."""
     unit = unit_points(rows, id_column, vector_column, dim)
     total = rows.where(F.size(vector_column) == dim).count()
-    points = folded(unit, k)
+    points = cut(folded(unit, k))
     edges = point_edges(points.select("point", "vector"), total, k, dim, at_least, margin, shard)
     ids = points.select("point", "first_ids")
     best = (

@@ -166,11 +166,32 @@ def test_no_near_duplicate_is_missed(spark):
     texts[500], texts[501] = texts[0], texts[0].upper()
     sets = {i: set(t.lower().split()) for i, t in texts.items() if len(set(t.lower().split())) >= 20}
     rows = [chunk(i, t) for i, t in texts.items()] + [chunk(900, None), chunk(901, "kurz"), chunk(902, "a " * 5000), chunk(None, texts[1]), chunk(3, texts[3])]
-    for limit in (4000, 2):  # the second sends every run to the pass over blocks
+    for limit in (4000, 12):  # the second sends every run to the pass over blocks
         got = [tuple(r) for r in covering.similar_pairs(chunks(spark, rows).withColumn("words", F.lit(0)), run_limit=limit).collect()]
         assert len(got) == len(set(got)) and set(got) == brute_similar(sets, 0.8)
 
 
+def test_hot_signatures_go_around_the_partitions(spark, monkeypatch):
+    """Texts of one template: their common words collide under masks, so that signatures are shared by many."""
+    monkeypatch.setattr(covering, "HOT_LEAST", 3)
+    rng = random.Random(8)
+    texts = {i: " ".join([f"t{k}" for k in range(40)] + [f"v{rng.randrange(60)}" for _ in range(9)]) for i in range(120)}
+    sets = {i: set(t.split()) for i, t in texts.items()}
+    rows = [chunk(i, t) for i, t in texts.items()]
+    base = covering.word_sets(chunks(spark, rows), "id", "content", 20)
+    hot = covering.hot_signatures(base.select("set_hash", "words"), 120, 20, 0.8, 5.5, 8)
+    assert hot and min(hot.values()) >= 2
+    for limit in (8, 4000):
+        got = [tuple(r) for r in covering.similar_pairs(chunks(spark, rows), run_limit=limit).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_similar(sets, 0.8)
+
+
+def test_signature_bytes_and_many_signatures_of_one_text():
+    words = np.arange(1, 90_001, dtype=np.uint64)
+    doc, _ = covering.batch_signatures(words, np.array([90_000]), 20, 0.8, 5.5)
+    assert covering.signature_bytes({90_000: 2}, 20, 0.8, 5.5) == 2 * 36 * len(doc)
+
+
 def test_masks_cover_every_pair_within_the_radius():
     rng = np.random.default_rng(2)
     for number in range(6):
