@@ -4,25 +4,30 @@
    token lists are one label, so repeated labels of any number are one row of all that follows.
 2. Tokens that differ by typing errors meet in a set-similarity join on their q-grams: each token is
    looked up only under its rarest grams, as many as its allowed edits can destroy plus one.
-3. Labels are joined on the prefix of their tokens, rarest first by the frequency of a token together
-   with its misspellings: the heaviest token and those of at least half its weight.
+3. Labels meet on pairs of tokens, rarest first by the frequency of a token together with its
+   misspellings. Every token of one label must have a partner in the other, so a label is looked up by its
+   heaviest token with a form of its second one, and by each other token with a form of its heaviest. The
+   first of the two is equal or misspelt; the form of the second names every relation that counts: equal or
+   misspelt, the full name of a pet name, the beginning or end that a short form keeps, an initial, an
+   acronym. A surname that a third of the labels share is thus never a key alone.
 4. Pairs are verified by soft weighted token similarity. Tokens match if they are equal, misspelt, an
    abbreviation, an initial or a pet name of each other; rare tokens weigh more, and every token that
    names something must find a partner, so that relatives and sister companies stay apart.
 5. Matches by initial, pet name or abbreviated given name count only if they point at one person.
    Components of the matches are the sets of variants.
 
-Defined cases: null, empty and purely numeric labels are linked with nothing; repeated rows of an id
+Defined cases: null and empty labels and those without a word are linked with nothing; tokens with digits
+must be equal; repeated rows of an id
 count once; types only say which labels are looked at: a pair needs one label under PERSON or
 ORGANIZATION; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -54,6 +59,7 @@ PET_NAMES: dict[str, tuple[str, ...]] = {}
 for _full, _short in _PETS.items():
     for _pet in _short.split():
         PET_NAMES[_pet] = (*PET_NAMES.get(_pet, ()), _full)
+_DIGIT = re.compile("[0-9]")
 LABEL = "label_key string, tokens array<string>, initials array<string>, legal string"
 
 
@@ -77,7 +83,7 @@ def parse_label(text: str) -> tuple[list[str], list[str], str]:
             p, legal = p[: m.start()].strip(), code
             break
     words = [w for w in p.split() if w not in TITLES] or p.split()
-    tokens = [w for w in words if len(w) > 1]
+    tokens = [w for w in words if len(w) > 1 or w.isdigit()]
     return tokens, [w for w in words if len(w) == 1 and w.isalpha()], legal
 
 
@@ -124,12 +130,19 @@ def is_acronym(short: str, long: str) -> bool:
     return all(ch in rest for ch in short)
 
 
-def token_similarity(a: str, b: str, common: set[str]) -> tuple[float, bool]:
-    """(similarity, whether it is weak evidence). ``common``: tokens too frequent to be misspellings of each other."""
+def are_apart(n: int, m: int) -> bool:
+    """Whether two tokens in n and m labels are names of their own: a misspelling is far rarer than what it misspells."""
+    return min(n, m) >= 10 and 8 * min(n, m) >= max(n, m)
+
+
+def token_similarity(a: str, b: str, df: dict[str, int]) -> tuple[float, bool]:
+    """(similarity, whether it is weak evidence). ``df``: in how many labels each token is."""
     if a == b:
         return 1.0, False
+    if _DIGIT.search(a) or _DIGIT.search(b):
+        return 0.0, False
     k = allowed_edits(a, b)
-    d = damerau(a, b, k) if k and not (a in common and b in common) else 9
+    d = damerau(a, b, k) if k and not are_apart(df.get(a, 0), df.get(b, 0)) else 9
     if d <= k:
         return 1.0 - 0.1 * d, False
     fa, fb = PET_NAMES.get(a, ()), PET_NAMES.get(b, ())
@@ -147,7 +160,7 @@ def token_similarity(a: str, b: str, common: set[str]) -> tuple[float, bool]:
     return 0.0, False
 
 
-def compare(a: tuple, b: tuple, weight: dict[str, float], common: set[str], threshold: float) -> tuple[float, bool]:
+def compare(a: tuple, b: tuple, weight: dict[str, float], df: dict[str, int], threshold: float) -> tuple[float, bool]:
     """Soft weighted similarity of two labels (tokens, initials, legal), and whether it rests on weak evidence."""
     (ta, ia, la), (tb, ib, lb) = a, b
     if la and lb and la != lb:
@@ -157,7 +170,7 @@ def compare(a: tuple, b: tuple, weight: dict[str, float], common: set[str], thre
         j = next((j for j, y in enumerate(tb) if x == y and j not in used_b), None)
         if j is not None:
             used_a[i] = used_b[j] = 1.0
-    pairs = sorted(((*token_similarity(x, y, common), i, j) for i, x in enumerate(ta) if i not in used_a for j, y in enumerate(tb) if j not in used_b), key=lambda p: -p[0])
+    pairs = sorted(((*token_similarity(x, y, df), i, j) for i, x in enumerate(ta) if i not in used_a for j, y in enumerate(tb) if j not in used_b), key=lambda p: -p[0])
     for s, w, i, j in pairs:
         if s > 0 and i not in used_a and j not in used_b:
             used_a[i] = used_b[j] = s
@@ -199,14 +212,14 @@ def labels(entities: DataFrame) -> DataFrame:
 
     shaped = once.select("id", "label", F.coalesce("named", F.lit(0)).alias("named"))
     parsed = shaped.mapInArrow(parse, "id string, named int, " + LABEL)
-    return parsed.where((F.size("tokens") > 0) & ~F.exists("tokens", lambda t: t.rlike("[0-9]")))
+    return parsed.where((F.size("tokens") > 0) & F.exists("tokens", lambda t: ~t.rlike("[0-9]")))
 
 
 def misspelt_tokens(tokens: DataFrame, q: int = 3) -> DataFrame:
     """Pairs (a, b), both directions, of tokens within their allowed edits. ``tokens``: (token, df)."""
     padded = F.concat(F.lit("#"), "token", F.lit("#"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - (q - 1)), lambda i: F.substring(padded, i, F.lit(q))))
-    listed = tokens.where(F.length("token") >= 4).select("token", F.length("token").alias("n"), F.explode(grams).alias("gram"))
+    listed = tokens.where((F.length("token") >= 4) & ~F.col("token").rlike("[0-9]")).select("token", F.length("token").alias("n"), F.explode(grams).alias("gram"))
     frequency = listed.groupBy("gram").agg(F.count(F.lit(1)).alias("gram_df"))
     # An edit destroys q grams, a transposition q + 1; the prefix holds one more than all edits can destroy.
     destroyed = F.when(F.col("n") < 9, q + 1).otherwise(2 * (q + 1)) + 1
@@ -231,29 +244,82 @@ def misspelt_tokens(tokens: DataFrame, q: int = 3) -> DataFrame:
     return met.mapInArrow(verify, "a string, b string")
 
 
+@lru_cache(maxsize=200_000)
+def full_names(token: str) -> tuple[str, ...]:
+    """The full given names that a token stands for: a pet name of them, one of them, or one misspelt by an edit."""
+    near = (f for f in _PETS if abs(len(f) - len(token)) <= 1 and (f[:2] == token[:2] or f[-2:] == token[-2:]) and damerau(token, f, 1) <= 1)
+    return tuple({*PET_NAMES.get(token, ()), *near})
+
+
+def second_keys(token: str, spellings: list[str]) -> list[tuple[str, str]]:
+    """(key a label is found under, key it looks for) of a token that is second in a pair; one for each relation to its partner."""
+    both = [f"t:{s}" for s in (token, *spellings)]
+    if not _DIGIT.search(token):
+        both += [f"p:{f}" for f in full_names(token)]
+        both += [f"s:{token[:3]}"] if len(token) >= 3 else []
+        both += [f"e:{token[-6:]}"] if len(token) >= 6 else []
+    out = [(k, k) for k in both]
+    if not _DIGIT.search(token):
+        out.append((f"I:{token[0]}", f"i:{token[0]}"))
+        out += [(f"a:{token[0]}", f"A:{token[0]}")] if 2 <= len(token) <= 3 else []
+        out += [(f"A:{token[0]}", f"a:{token[0]}")] if len(token) >= 8 else []
+    return out
+
+
+def pair_keys(tokens: list[str], spellings: list[list[str]], initials: list[str]) -> tuple[set[tuple[str, str]], set[tuple[str, str]]]:
+    """(pairs a label is found under, pairs it looks for). ``tokens``: heaviest first; ``spellings``: the more frequent ones of each."""
+    second = [second_keys(t, s) for t, s in zip(tokens, spellings, strict=True)]
+    first = [(t, *s) for t, s in zip(tokens, spellings, strict=True)]
+    found, sought = set(), set()
+    for i, anchors in enumerate(first):
+        others = [(j, f, g) for j, keys in enumerate(second) if j != i for f, g in keys]
+        short = [(f"i:{x}", f"I:{x}") for x in initials] + [(f"i:{x}", f"i:{x}") for x in initials] + ([("alone", "alone")] if len(tokens) == 1 else [])
+        partner = 1 if i == 0 else 0
+        for a in anchors:
+            found |= {(a, f) for _, f, _ in others} | {(a, f) for f, _ in short}
+            sought |= {(a, g) for j, _, g in others if j == partner} | {(a, g) for _, g in short}
+    return found, sought
+
+
 def label_matches(distinct: DataFrame, threshold: float = 0.72) -> DataFrame:
     """(a, b, score, weak): verified pairs of label keys. ``distinct``: (label_key, tokens, initials, legal, named)."""
+    return verified(*met_labels(distinct), threshold)
+
+
+def met_labels(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of label keys that share a pair of tokens, and the labels with their tokens ranked."""
     tokens = distinct.select("label_key", F.explode(F.array_distinct("tokens")).alias("token"))
     frequency = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
-    misspelt = cut(misspelt_tokens(frequency))
+    misspelt = misspelt_tokens(frequency).join(frequency.select(F.col("token").alias("a"), F.col("df").alias("n")), "a").join(frequency.select(F.col("token").alias("b"), F.col("df").alias("m")), "b")
+    few, many = F.least("n", "m"), F.greatest("n", "m")
+    misspelt = cut(misspelt.where(~((few >= 10) & (8 * few >= many))))
     total = distinct.count()
-    soft = misspelt.join(frequency.select(F.col("token").alias("b"), "df"), "b").groupBy("a").agg(F.sum("df").alias("more"))
-    weights = frequency.join(soft, F.col("token") == F.col("a"), "left").select("token", "df", F.log((F.lit(total) + 1.0) / (F.col("df") + F.coalesce("more", F.lit(0)))).alias("weight")).withColumn("weight", F.greatest("weight", F.lit(0.2)))
-    common_at = max(10, total // 2000)
-    listed = tokens.join(weights, "token").groupBy("label_key").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), F.col("token").alias("t"), F.col("df").alias("df")))).alias("ranked"))
+    # The rarer of two spellings is also entered under the more frequent one, so that both meet there.
+    soft = misspelt.groupBy("a").agg(F.sum("m").alias("more"), F.array_sort(F.collect_list(F.when(F.struct("m", "b") > F.struct("n", "a"), F.col("b")))).alias("spellings"))
+    weights = frequency.join(soft, F.col("token") == F.col("a"), "left").select("token", "df", F.coalesce("spellings", F.array().cast("array<string>")).alias("spellings"), F.log((F.lit(total) + 1.0) / (F.col("df") + F.coalesce("more", F.lit(0)))).alias("weight")).withColumn("weight", F.greatest("weight", F.lit(0.2)))
+    listed = tokens.join(weights, "token").groupBy("label_key").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), F.col("token").alias("t"), F.col("df").alias("df"), "spellings"))).alias("ranked"))
     ready = cut(distinct.join(listed, "label_key"))
-    # The prefix: every token must find a partner, so the heaviest does; tokens of half its weight join it,
-    # as the heaviest can be an abbreviation or a pet name, which no q-gram leads to its full form.
-    heads = ready.select("label_key", "named", "ranked", F.element_at("ranked", 1)["w"].alias("top")).select("label_key", "named", F.explode("ranked").alias("r"), "top")
-    prefix = heads.where(F.col("r.w") <= 0.5 * F.col("top")).select("label_key", "named", F.col("r.t").alias("token"))
-    left = prefix.select(F.col("label_key").alias("a"), F.col("named").alias("na"), F.col("token").alias("ta"))
-    right = prefix.select(F.col("label_key").alias("b"), F.col("named").alias("nb"), F.col("token").alias("tb"))
-    same = left.join(right, (F.col("ta") == F.col("tb")) & (F.col("a") < F.col("b")) & (F.col("na") + F.col("nb") > 0)).select("a", "b")
-    through = misspelt.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
-    near = left.join(through, "ta").join(right, "tb").where((F.col("a") < F.col("b")) & (F.col("na") + F.col("nb") > 0)).select("a", "b")
-    pairs = same.unionByName(near).distinct()
-    frequent = F.transform(F.filter("ranked", lambda r: r["df"] >= common_at), lambda r: r["t"])
-    shape = F.struct("tokens", "initials", "legal", frequent.alias("frequent"), F.col("ranked.t").alias("t"), F.col("ranked.w").alias("w"))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for label, named, ts, sp, initials in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                found, sought = pair_keys(ts, sp, initials)
+                out += [(label, named, False, *k) for k in found]
+                out += [(label, named, True, *k) for k in sought]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.bool_(), pa.string(), pa.string()), strict=True)], names=["label_key", "named", "seeks", "first", "second"])
+
+    entered = cut(ready.select("label_key", "named", "ranked.t", "ranked.spellings", "initials").mapInArrow(keys, "label_key string, named int, seeks boolean, first string, second string"))
+    left = entered.where("seeks").select(F.col("label_key").alias("x"), F.col("named").alias("nx"), "first", "second")
+    right = entered.where("NOT seeks").select(F.col("label_key").alias("y"), F.col("named").alias("ny"), "first", "second")
+    met = left.join(right, ["first", "second"]).where((F.col("x") != F.col("y")) & (F.col("nx") + F.col("ny") > 0))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), ready
+
+
+def verified(pairs: DataFrame, ready: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose soft weighted similarity reaches the threshold."""
+    shape = F.struct("tokens", "initials", "legal", F.col("ranked.t").alias("t"), F.col("ranked.w").alias("w"), F.col("ranked.df").alias("df"))
     sides = pairs.join(ready.select(F.col("label_key").alias("a"), shape.alias("x")), "a").join(ready.select(F.col("label_key").alias("b"), shape.alias("y")), "b").select("a", "b", "x", "y")
     # Certain mismatches need no Python: other legal forms, a token too many, or two tokens that are
     # neither near in spelling nor pet names nor short forms of each other.
@@ -276,8 +342,8 @@ def label_matches(distinct: DataFrame, threshold: float = 0.72) -> DataFrame:
             out: list[tuple] = []
             for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 weight = {t: -w for s in (x, y) for t, w in zip(s["t"], s["w"], strict=True)}
-                common = {*x["frequent"], *y["frequent"]}
-                score, weak = compare((x["tokens"], x["initials"], x["legal"]), (y["tokens"], y["initials"], y["legal"]), weight, common, threshold)
+                df = {t: n for s in (x, y) for t, n in zip(s["t"], s["df"], strict=True)}
+                score, weak = compare((x["tokens"], x["initials"], x["legal"]), (y["tokens"], y["initials"], y["legal"]), weight, df, threshold)
                 if score:
                     out.append((a, b, score, weak))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4

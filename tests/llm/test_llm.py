@@ -380,7 +380,25 @@ def test_variants(spark):
     assert got == truth
 
 
+def test_every_match_shares_a_pair_of_tokens(spark):
+    """What ``compare`` accepts among all pairs is met, with one surname in most labels; few other pairs are."""
+    rng = random.Random(3)
+    given = ["anneliese", "anni", "josef", "sepp", "heinrich", "heini", "thomas", "tomas", "georg", "schorsch", "maria", "martin", "seb", "sebastian"]
+    rows = {" ".join(t): (t, i, "") for t, i in [([g, s], []) for g in given for s in ("mueller", "muller", rng.choice(["kranz", "krantz", "huber"]))] + [(["mueller"], [c]) for c in "ajmx"] + [(["mueller"], []), (["haus", "24", "immobilien"], []), (["haus", "42", "immobilien"], []), (["haus", "24", "imobilien"], []), (["gebaeudereinigung", "tarek"], []), (["reinigung", "tarek"], []), (["tarek", "wb"], []), (["tarek", "wohnbau"], [])]}
+    rows = {f"{k}|{''.join(i)}": (t, i, l) for k, (t, i, l) in rows.items()}
+    distinct = spark.createDataFrame([(k, t, i, l, 1) for k, (t, i, l) in rows.items()], "label_key string, tokens array<string>, initials array<string>, legal string, named int")
+    pairs, ready = names.met_labels(distinct)
+    met = {tuple(r) for r in pairs.collect()}
+    weight = {t["t"]: -t["w"] for r in ready.collect() for t in r["ranked"]}
+    df = {t["t"]: t["df"] for r in ready.collect() for t in r["ranked"]}
+    accepted = {(a, b) for a in rows for b in rows if a < b and names.compare(rows[a], rows[b], weight, df, 0.72)[0]}
+    assert accepted and not accepted - met and len(met) < len(rows) ** 2 / 6
+    assert ("haus 24 immobilien|", "haus 24 imobilien|") in accepted and ("haus 24 immobilien|", "haus 42 immobilien|") not in accepted
+    assert ("anneliese mueller|", "anni mueller|") in accepted
+
+
 def test_name_parts():
+    assert names.parse_label("Haus 5 Immobilien") == (["haus", "5", "immobilien"], [], "")
     assert names.parse_label("Hökuromon Steuerberatung a.g.") == (["hoekuromon", "steuerberatung"], [], "ag")
     assert names.parse_label("Dr. M. Huber") == (["huber"], ["m"], "") and names.parse_label("AG") == (["ag"], [], "")
     assert names.damerau("heinrcih", "heinrich", 1) == 1 and names.damerau("abc", "xyz", 2) == 3
