@@ -1,40 +1,82 @@
 """References to records that do not exist, kept as keyed state that is brought forward batch by batch.
 
-State is two tables, both keyed by the referenced key:
+State is two tables, both divided into buckets by a hash of the referenced key:
 
-* ``parents``: for each key, the distinct life spans ``[born, gone)`` seen so far;
+* ``parents``: for each key and version of its record, the life span ``[born, gone)`` as far as known;
 * ``references``: every reference seen so far with its own time and whether it is an orphan now.
 
 A batch of references probes the parent index; a batch of parents only touches the references that
-carry one of its keys: a span that covers the reference's time resolves it, a span that ends earlier
-(a deletion that arrives afterwards) opens it again. Untouched keys are carried over without a probe.
-Totals do not depend on how the rows are divided into batches or on their order.
+carry one of its keys: a span that covers the reference's time resolves it, a deletion that arrives
+afterwards closes the span and opens it again. Only buckets that hold a key of the batch are read and
+written anew, under the number of the batch; the others stay as files of older batches. A manifest per
+batch names the files of each bucket, so a batch that is repeated after a failure gives the same state,
+and nothing that a reader still uses is overwritten. Totals do not depend on how the rows are divided into
+batches or on their order.
 
 Defined cases: a null key is no reference; repeated rows (same record, field, key and time) count
-once; a span without ``born`` is open to the past, one without ``gone`` open to the future; a
+once; a span without ``born`` is open to the past, one without ``gone`` open to the future; a parent that
+is delivered again with the same ``version`` is one span, which ends at the latest ``gone`` known for it; a
 reference without a time is resolved by any span of its key; empty inputs give empty results. Extra
 columns of the inputs are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REFERENCE = "table_name string, field_name string, record_id string, period string, ref_key string, at string"
-PARENT = "ref_key string, born string, gone string"
+PARENT = "ref_key string, version string, born string, gone string"
+_COLUMNS = [c.split()[0] for c in REFERENCE.split(", ")]
+_SPAN = [c.split()[0] for c in PARENT.split(", ")]
 
 
 @dataclass(frozen=True)
-class OrphanState:
-    parents: DataFrame
-    references: DataFrame  # REFERENCE + orphan boolean
-
-
-def empty_state(spark: SparkSession) -> OrphanState:
-    return OrphanState(spark.createDataFrame([], PARENT), spark.createDataFrame([], REFERENCE + ", orphan boolean"))
+class OrphanStore:
+    """State after batch ``number``: which file set of which batch holds a bucket. At most ``buckets`` entries a table."""
+
+    spark: SparkSession
+    folder: str
+    buckets: int = 8
+    number: int = -1
+    parents: dict[int, int] = field(default_factory=dict)
+    references: dict[int, int] = field(default_factory=dict)
+
+    def path(self, table: str, number: int, bucket: int) -> str:
+        return f"{self.folder}/{table}/v{number}/bucket={bucket}"
+
+    def read(self, table: str, only: list[int] | None = None) -> DataFrame:
+        places = getattr(self, table)
+        paths = [self.path(table, n, b) for b, n in sorted(places.items()) if only is None or b in only]
+        schema = PARENT if table == "parents" else REFERENCE + ", orphan boolean"
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def save(self) -> OrphanStore:
+        """Write the manifest of this batch, a small file."""
+        path, files = _place(self.spark, f"{self.folder}/manifest/v{self.number}.json")
+        out = files.create(path, True)
+        out.write(json.dumps({t: getattr(self, t) for t in ("parents", "references")}).encode())
+        out.close()
+        return self
+
+
+def load(spark: SparkSession, folder: str, number: int, buckets: int = 8) -> OrphanStore:
+    """The state after batch ``number``; before the first one it is empty."""
+    if number < 0:
+        return OrphanStore(spark, folder, buckets)
+    path, files = _place(spark, f"{folder}/manifest/v{number}.json")
+    source = files.open(path)
+    held = json.loads(bytes(source.readAllBytes()))
+    source.close()
+    return OrphanStore(spark, folder, buckets, number, *({int(b): n for b, n in held[t].items()} for t in ("parents", "references")))
+
+
+def _place(spark: SparkSession, path: str):  # noqa: ANN202
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def _probe(references: DataFrame, parents: DataFrame) -> DataFrame:
@@ -50,39 +92,46 @@ def _probe(references: DataFrame, parents: DataFrame) -> DataFrame:
         lambda s: F.col("at").isNull()
         | ((s["born"].isNull() | (s["born"] <= F.col("at"))) & (s["gone"].isNull() | (s["gone"] > F.col("at")))),
     )
-    return references.join(spans, "ref_key", "left").select(
-        "table_name", "field_name", "record_id", "period", "ref_key", "at", (~F.coalesce(covered, F.lit(False))).alias("orphan")
-    )
+    return references.join(spans, "ref_key", "left").select(*_COLUMNS, (~F.coalesce(covered, F.lit(False))).alias("orphan"))
 
 
-def advance(state: OrphanState, references: DataFrame, parents: DataFrame) -> OrphanState:
+def advance(store: OrphanStore, references: DataFrame, parents: DataFrame, number: int | None = None) -> OrphanStore:
     """The state after one batch of new references and one of parents (arrivals and deletions)."""
-    columns = ["table_name", "field_name", "record_id", "period", "ref_key", "at"]
-    fresh = references.where(F.col("ref_key").isNotNull()).select(*columns).distinct()
-    known = state.references.select(*columns)
-    arrived = parents.where(F.col("ref_key").isNotNull()).select("ref_key", "born", "gone").distinct()
-    all_parents = state.parents.unionByName(arrived).distinct()
-    touched_keys = arrived.select("ref_key").distinct()
-    touched = known.join(touched_keys, "ref_key", "left_semi").select(*columns)
-    untouched = state.references.join(touched_keys, "ref_key", "left_anti").select(*columns, "orphan")
-    again = fresh.join(untouched.select(*columns), columns, "left_anti").unionByName(touched).distinct()
-    return OrphanState(all_parents, untouched.unionByName(_probe(again, all_parents)))
-
-
-def first_batch(references: DataFrame, parents: DataFrame) -> OrphanState:
-    """``advance`` from the empty state: nothing to carry over, so one probe is all."""
-    columns = ["table_name", "field_name", "record_id", "period", "ref_key", "at"]
-    fresh = references.where(F.col("ref_key").isNotNull()).select(*columns).distinct()
-    spans = parents.where(F.col("ref_key").isNotNull()).select("ref_key", "born", "gone").distinct()
-    return OrphanState(spans, _probe(fresh, spans))
-
-
-def orphans(state: OrphanState) -> DataFrame:
-    return state.references.where("orphan").select("table_name", "field_name", "record_id", "period").distinct()
-
-
-def snapshot(state: OrphanState) -> DataFrame:
+    number = store.number + 1 if number is None else number
+    bucket = F.pmod(F.xxhash64("ref_key"), F.lit(store.buckets)).cast("int").alias("bucket")
+    fresh = references.where(F.col("ref_key").isNotNull()).select(*_COLUMNS).distinct()
+    arrived = parents.where(F.col("ref_key").isNotNull()).select(*_SPAN).distinct()
+    touched = sorted(r[0] for r in fresh.select(bucket).unionByName(arrived.select(bucket)).distinct().collect())
+    if not touched:
+        return OrphanStore(store.spark, store.folder, store.buckets, number, store.parents, store.references).save()
+    spans = store.read("parents", touched).unionByName(arrived).groupBy("ref_key", "version").agg(F.max("born").alias("born"), F.max("gone").alias("gone"))
+    held = _write(spans, bucket, f"{store.folder}/parents/v{number}")
+    after = OrphanStore(store.spark, store.folder, store.buckets, number, store.parents | dict.fromkeys(held, number), store.references)
+    known = store.read("references", touched)
+    keys = arrived.select("ref_key").distinct()
+    untouched = known.join(keys, "ref_key", "left_anti").select(*_COLUMNS, "orphan")
+    again = fresh.unionByName(known.join(keys, "ref_key", "left_semi").select(*_COLUMNS)).distinct()
+    decided = _probe(again, after.read("parents", touched))
+    # A reference that is delivered again is decided anew and replaces its earlier row.
+    merged = untouched.unionByName(decided).groupBy(*_COLUMNS).agg(F.min("orphan").alias("orphan")) if store.references else decided
+    held = _write(merged, bucket, f"{store.folder}/references/v{number}")
+    return OrphanStore(store.spark, store.folder, store.buckets, number, after.parents, store.references | dict.fromkeys(held, number)).save()
+
+
+def _write(rows: DataFrame, bucket: Column, path: str) -> list[int]:
+    """One part per bucket, and which there are; a bucket with a hot key is divided further by AQE."""
+    rows.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    target, files = _place(rows.sparkSession, path)
+    names = [f.getPath().getName() for f in files.listStatus(target)]
+    return [int(n.partition("=")[2]) for n in names if n.startswith("bucket=")]
+
+
+def orphans(store: OrphanStore) -> DataFrame:
+    return store.read("references").where("orphan").select("table_name", "field_name", "record_id", "period").distinct()
+
+
+def snapshot(store: OrphanStore) -> DataFrame:
     """Orphans and references per table, field and period."""
-    return state.references.groupBy("table_name", "field_name", "period").agg(
+    return store.read("references").groupBy("table_name", "field_name", "period").agg(
         F.count_if("orphan").alias("n_orphans"), F.count(F.lit(1)).alias("n_references")
     )

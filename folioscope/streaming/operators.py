@@ -2,7 +2,7 @@
 
 ``changed_chunks`` keeps a snapshot of chunks up to date from a stream of deliveries; ``rolling_rate``
 counts events in sliding windows with a watermark; ``expiring`` gives up entries after a time to live;
-``pending_orphans`` emits references that no parent has resolved by the end of the stream's batches.
+``pending_orphans`` keeps the references that no parent resolves, as references, arrivals and deletions come.
 """
 
 from __future__ import annotations
@@ -75,17 +75,26 @@ def expiring(events: DataFrame, ttl_ms: int) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(step, "key string, status string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def pending_orphans(parents: DataFrame, target: str) -> Callable[[DataFrame, int], None]:
-    """A batch function over references: state is brought forward and its orphans written per batch."""
+CHANGE = "kind string, " + O.REFERENCE + ", version string, born string, gone string"
+
+
+def changes(references: DataFrame, parents: DataFrame) -> DataFrame:
+    """References and parents as one table of changes, to be delivered together."""
+    r = references.select(F.lit("reference").alias("kind"), *O._COLUMNS)
+    p = parents.select(F.lit("parent").alias("kind"), *O._SPAN)
+    return r.unionByName(p, allowMissingColumns=True)
+
+
+def pending_orphans(target: str, seen: list[int] | None = None, buckets: int = 8) -> Callable[[DataFrame, int], None]:
+    """A batch function over a stream of ``changes``: late parents resolve references that wait, deletions reopen
+    them, and counts per table and period are written after each batch. A repeated batch gives the same state.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        none = parents.limit(0)
-        if number == 0:
-            state = O.first_batch(batch, parents)
-        else:
-            before = O.OrphanState(parents, spark.read.parquet(f"{target}/v{number - 1}"))
-            state = O.advance(before, batch, none)
-        state.references.write.mode("overwrite").parquet(f"{target}/v{number}")
+        store = O.load(batch.sparkSession, target, number - 1, buckets)
+        store = O.advance(store, batch.where("kind = 'reference'"), batch.where("kind = 'parent'"), number)
+        O.snapshot(store).write.mode("overwrite").parquet(f"{target}/counts/v{number}")
+        if seen is not None:
+            seen.append(number)
 
     return each
