@@ -1,9 +1,10 @@
 """Texts that were cut off, from the lengths of a source and the endings of its texts.
 
-Every source has discrete length hazards: of the texts at least as long as L, the share that is exactly
+Every source has discrete length hazards: of all its texts at least as long as L, the share that is exactly
 L long, in characters and, since some limits count bytes, in bytes of UTF-8. Window functions compare
 each hazard with the mean hazard of the lengths around it; the exceedance gets a binomial tail
-probability, and the Benjamini-Hochberg step controls the share of false limits over all tested lengths.
+probability, and the Benjamini-Hochberg step controls the share of false limits over all lengths that
+occur, by a histogram of their probabilities.
 A limit in bytes can fall inside a character, so lengths up to 3 bytes beside a limit belong to it.
 
 A text is cut off if its ending is incomplete. Endings that are incomplete anywhere: a word or sentence
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.durable import cut
+
 CUT, UNSURE, WHOLE = "cut", "unsure", "whole"
 
 _CLOSERS = "\"'”“»’›)]}*_"
@@ -113,18 +116,18 @@ def endings(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(classify, "doc_id long, source string, chars int, bytes int, ending string")
 
 
-def limits(lengths: DataFrame, window: int = 40, rate: float = 0.01, least: int = 4) -> DataFrame:
+def limits(lengths: DataFrame, window: int = 40, rate: float = 0.01) -> DataFrame:
     """(source, unit, length, n, at_risk, hazard, expected, p) of the lengths whose hazard is significant.
 
     ``lengths``: rows (source, unit, length). Counting comes first, so that windows run over distinct
-    lengths of a source, not over its texts.
+    lengths of a source, not over its texts. A length is at most as many rows as texts are long.
     """
     counts = lengths.groupBy("source", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("source", "unit").orderBy(F.col("length"))
     risk = counts.withColumn("at_risk", F.sum("n").over(by.rowsBetween(0, Window.unboundedFollowing)))
     near = by.rangeBetween(-window, window)
-    around = risk.withColumn("others", F.sum("n").over(near) - F.col("n")).withColumn("first", F.max("at_risk").over(near))
-    tested = around.where(F.col("n") >= least).withColumn("expected", F.greatest(F.col("others") + 1, F.lit(1)) / (F.lit(2 * window) * F.greatest("at_risk", F.lit(1))))
+    around = risk.withColumn("others", F.sum("n").over(near) - F.col("n"))
+    tested = around.withColumn("expected", F.greatest(F.col("others") + 1, F.lit(1)) / (F.lit(2 * window) * F.greatest("at_risk", F.lit(1))))
 
     @F.pandas_udf("double")
     def tail(n: pd.Series, at_risk: pd.Series, p: pd.Series) -> pd.Series:
@@ -140,27 +143,31 @@ def limits(lengths: DataFrame, window: int = 40, rate: float = 0.01, least: int
 
         return pd.Series([one(int(k), int(m), float(q)) for k, m, q in zip(n, at_risk, p, strict=True)], dtype="float64")
 
-    scored = tested.withColumn("p", tail("n", "at_risk", "expected"))
-    # Benjamini-Hochberg per unit and source family: candidates are few, one row per length that repeats.
-    order = Window.partitionBy("unit").orderBy("p", "source", "length")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).withColumn("tests", F.count(F.lit(1)).over(Window.partitionBy("unit")))
-    passing = ranked.withColumn("top", F.max(F.when(F.col("p") <= F.lit(rate) * F.col("rank") / F.col("tests"), F.col("rank"))).over(Window.partitionBy("unit")))
-    return passing.where(F.col("rank") <= F.col("top")).select("source", "unit", "length", "n", "at_risk", (F.col("n") / F.col("at_risk")).alias("hazard"), "expected", "p")
+    # A length of one text: the chance of any there, in closed form.
+    single = tested.where("n = 1").withColumn("p", 1 - F.exp(F.col("at_risk") * F.log1p(-F.least("expected", F.lit(0.5)))))
+    scored = cut(single.unionByName(tested.where("n > 1").withColumn("p", tail("n", "at_risk", "expected"))))
+    # Benjamini-Hochberg per unit: the largest bin of probabilities whose upper end is at most ``rate`` times
+    # the share of tests up to it. A hundred bins for each power of ten, so the histogram is small.
+    bin_ = F.ceil(100 * F.log10(F.greatest("p", F.lit(1e-300)))).cast("int")
+    bins = scored.groupBy("unit", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("tests"))
+    ordered = Window.partitionBy("unit").orderBy("bin")
+    ranked = bins.withColumn("up_to", F.sum("tests").over(ordered)).withColumn("all", F.sum("tests").over(Window.partitionBy("unit")))
+    passing = ranked.where(F.pow(F.lit(10.0), F.col("bin") / 100) <= rate * F.col("up_to") / F.col("all")).groupBy("unit").agg(F.max("bin").alias("top"))
+    found = scored.withColumn("bin", bin_).join(F.broadcast(passing), "unit").where("bin <= top")
+    return found.select("source", "unit", "length", "n", "at_risk", (F.col("n") / F.col("at_risk")).alias("hazard"), "expected", "p")
 
 
 def truncated(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, cut, at_limit): every text with the verdict on its ending and whether its length is a limit."""
-    seen = endings(documents)
-    # Texts that end within a sentence or word show a limit; whole ones of the same length don't weaken it.
-    suspicious = seen.where(F.col("ending") != WHOLE)
-    units = suspicious.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))).alias("l")).select("source", "l.unit", "l.length")
-    found = limits(units)
-    at = found.select("source", "unit", "length").distinct()
-    spread = at.select("source", "unit", F.explode(F.sequence(F.col("length") - F.when(F.col("unit") == "bytes", 3).otherwise(0), F.col("length") + F.when(F.col("unit") == "bytes", 3).otherwise(0))).alias("length")).distinct()
+    """(doc_id, source, cut, at_limit, ending): every text with the verdict, whether its length is a limit, and what its ending alone says."""
+    seen = cut(endings(documents))
+    units = seen.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))).alias("l")).select("source", "l.unit", "l.length")
+    at = limits(units).select("source", "unit", "length").distinct()
+    slack = F.when(F.col("unit") == "bytes", 3).otherwise(0)
+    spread = at.select("source", "unit", F.explode(F.sequence(F.col("length") - slack, F.col("length") + slack)).alias("length")).distinct()
     hit = spread.groupBy("source").agg(F.collect_set(F.when(F.col("unit") == "chars", F.col("length"))).alias("char_limits"), F.collect_set(F.when(F.col("unit") == "bytes", F.col("length"))).alias("byte_limits"))
     joined = seen.join(hit, "source", "left")
     at_limit = F.coalesce(F.array_contains("char_limits", F.col("chars")) | F.array_contains("byte_limits", F.col("bytes")), F.lit(False))
-    return joined.select("doc_id", "source", ((F.col("ending") == CUT) | ((F.col("ending") == UNSURE) & at_limit)).alias("cut"), at_limit.alias("at_limit"))
+    return joined.select("doc_id", "source", ((F.col("ending") == CUT) | ((F.col("ending") == UNSURE) & at_limit)).alias("cut"), at_limit.alias("at_limit"), "ending")
 
 
 def rates(documents: DataFrame) -> DataFrame:
