@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscope.functions.constants import LABEL_STOPWORDS
+from folioscope.functions.constants import LABEL_STOPWORDS, NUMBER_PATTERN, URL_PATTERN, YEAR_PATTERN
 
 
 def _c(column: str | Column) -> Column:
@@ -41,9 +42,16 @@ def slugify(column: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(german(column), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
 
+def _accented() -> tuple[str, str]:
+    """Letters that decompose into an ASCII letter and marks, and those letters."""
+    found = [(chr(i), unicodedata.normalize("NFD", chr(i))) for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    kept = [(a, b[0].lower()) for a, b in found if len(b) > 1 and b[0].isascii() and b[0].isalpha()]
+    return "".join(a for a, _ in kept), "".join(b for _, b in kept)
+
+
 def accentless_slug(column: str | Column) -> Column:
-    """``slugify`` after accents of French and Spanish letters are dropped."""
-    plain = F.translate(german(column), "áàâãåéèêëíìîïóòôõúùûñçýÿ", "aaaaaeeeeiiiioooouuuncyy")
+    """``slugify`` after accents are dropped from letters that have them."""
+    plain = F.regexp_replace(F.translate(german(column), *_accented()), r"\p{M}", "")
     return F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
 
@@ -109,14 +117,10 @@ def addresses_differ(a: str | Column, b: str | Column) -> Column:
     return (F.size(x) > 0) & (F.size(y) > 0) & (x != y)
 
 
-NUMBER = r"\d[\d.,  ]*\d|\d"
-
-
 def extracted_numbers(column: str | Column) -> Column:
     """Numbers as written, without those of links and without years; distinct, in order."""
-    text = F.regexp_replace(_c(column), r"https?://\S+", " ")
-    text = F.regexp_replace(text, r"(?<![\d.,])(?:19|20)\d{2}(?![\d.,]\d|\d)", " ")
-    found = F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), lambda n: F.regexp_replace(n, "^[ ,.]+|[ ,.]+$", ""))
+    text = F.regexp_replace(F.regexp_replace(_c(column), URL_PATTERN, " "), YEAR_PATTERN, " ")
+    found = F.transform(F.regexp_extract_all(text, F.lit(NUMBER_PATTERN), F.lit(0)), lambda n: F.trim(n, F.lit(" ,.")))
     return F.array_distinct(F.filter(found, lambda n: n != ""))
 
 
@@ -150,9 +154,14 @@ def any_contains(column: str | Column, markers: tuple[str, ...]) -> Column:
 
 
 def source_sentence(text: str | Column, label: str | Column, most: int = 200) -> Column:
-    """The first sentence that names the label, cut at a word boundary beyond 150 characters."""
-    sentences = F.filter(F.split(_c(text), r"(?<=[.!?])\s+"), lambda s: F.contains(F.lower(s), F.lower(_c(label))))
-    first = F.trim(F.get(sentences, F.lit(0)))
-    head = F.substring(first, 1, most - 1)
-    at_word = F.regexp_extract(head, r"^(?s)(.{150,})\s\S*$", 1)
-    return F.when(F.length(first) <= most, first).when(first.isNotNull(), F.concat(F.when(at_word != "", at_word).otherwise(head), F.lit("…")))
+    """The first sentence that names the label, else the beginning of the text; cut at a blank after 150 characters if it is too long."""
+    t, name = _c(text), F.lower(_c(label))
+    sentences = F.filter(F.split(t, r"(?<=[.!?])\s+"), lambda s: F.contains(F.lower(s), name))
+    named = F.size(sentences) > 0
+    blank = " \t\r\n"
+    first = F.when(named, F.trim(F.get(sentences, F.lit(0)), F.lit(blank))).otherwise(t)
+    head = F.substring(first, 1, most)
+    last = F.lit(most) - F.locate(" ", F.reverse(head))  # characters before the last blank, ``most`` if there is none
+    short = F.when((F.locate(" ", head) > 0) & (last > 150), F.substring(head, F.lit(1), last)).otherwise(head)
+    cut = F.concat(F.rtrim(short, F.lit(blank)), F.lit("…"))
+    return F.when(F.coalesce(name, F.lit("")) == "", F.substring(t, 1, most)).when(F.length(first) > most, cut).otherwise(F.trim(first, F.lit(blank)))

@@ -188,4 +188,4 @@ def community_summaries(members: DataFrame, entities: DataFrame, relationships:
     dominant = counts.groupBy("community_id").agg(F.sum("n").alias("n_members"), F.min_by("entity_type", F.struct((-F.col("n")).alias("n"), F.col("entity_type"))).alias("dominant_type"))
     m = members.select("entity_id", "community_id")
     inner = active(relationships).join(m.select(F.col("entity_id").alias("source_id"), F.col("community_id").alias("c1")), "source_id").join(m.select(F.col("entity_id").alias("target_id"), F.col("community_id").alias("c2")), "target_id").where("c1 = c2").groupBy(F.col("c1").alias("community_id")).agg(F.count(F.lit(1)).alias("n_inner_links"))
-    return dominant.join(inner, "community_id", "left").select("community_id", "n_members", "dominant_type", F.coalesce("n_inner_links", F.lit(0)).alias("n_inner_links"), F.format_string("%d × %s", "n_members", "dominant_type").alias("summary"))
+    return dominant.join(inner, "community_id", "left").select("community_id", "n_members", "dominant_type", F.coalesce("n_inner_links", F.lit(0)).alias("n_inner_links"), F.concat("dominant_type", F.lit("-Gruppe")).alias("label"), F.format_string("Community von %d Entities, hauptsächlich %s.", "n_members", "dominant_type").alias("summary"))

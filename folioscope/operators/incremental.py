@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.durable import cut
+
 
 def signatures(chunks: DataFrame, ordered: bool = True) -> DataFrame:
     """(scope, kind, ref, signature): one hash over the contents of a document, in order or as a set.
@@ -17,7 +19,7 @@ def signatures(chunks: DataFrame, ordered: bool = True) -> DataFrame:
     else:
         h = h.select("scope", "kind", "ref", "h").distinct()
         mixed = F.col("h")
-    return h.groupBy("scope", "kind", "ref").agg(F.bit_xor(mixed).alias("signature"), F.count(F.lit(1)).alias("n_chunks"))
+    return h.groupBy("scope", "kind", "ref").agg(F.sum(mixed.cast("decimal(38,0)")).alias("signature"), F.count(F.lit(1)).alias("n_chunks"))
 
 
 def document_diff(old: DataFrame, new: DataFrame, ordered: bool = True) -> DataFrame:
@@ -61,7 +63,7 @@ def folder_rollup(pages: DataFrame) -> DataFrame:
     below = pages.select("slug", "body_hash", "path", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth"), parts.alias("parts"))
     listed = below.select(F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/").alias("folder"), "depth", "slug", "body_hash", (F.col("depth") == F.size("parts")).alias("direct"))
     each = F.conv(F.substring(F.sha2(F.concat_ws("\u0000", "slug", "body_hash"), 256), 1, 15), 16, 10).cast("long")
-    return listed.groupBy("folder", "depth").agg(F.count_if("direct").alias("n_direct"), F.count(F.lit(1)).alias("n_total"), F.substring(F.sha2(F.concat_ws("|", F.bit_xor(each).cast("string"), F.count(F.lit(1)).cast("string")), 256), 1, 16).alias("rollup_hash"))
+    return listed.groupBy("folder", "depth").agg(F.count_if("direct").alias("n_direct"), F.count(F.lit(1)).alias("n_total"), F.substring(F.sha2(F.concat_ws("|", F.sum(each.cast("decimal(38,0)")).cast("string"), F.count(F.lit(1)).cast("string")), 256), 1, 16).alias("rollup_hash"))
 
 
 def changed_rollups(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -70,8 +72,27 @@ def changed_rollups(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def collision_free(slugs: DataFrame, taken: DataFrame) -> DataFrame:
-    """(slug, row_id, free_slug): slugs that are taken or repeat get ``-1``, ``-2`` and so on, in order of row_id."""
-    used = taken.groupBy("slug").agg(F.lit(1).alias("used"))
-    order = Window.partitionBy("slug").orderBy("row_id")
-    n = slugs.withColumn("n", F.row_number().over(order)).join(used, "slug", "left").withColumn("n", F.col("n") - 1 + F.coalesce("used", F.lit(0)))
-    return n.select("slug", "row_id", F.when(F.col("n") == 0, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("n").cast("string"))).alias("free_slug"))
+    """(slug, row_id, free_slug): slugs that are taken or repeat get the first free of ``-1``, ``-2`` and so on, in order of row_id.
+
+    Each round gives the waiting rows of a slug its free numbers. Where two slugs come to the same name, as
+    ``a`` with ``-1`` and ``a-1`` do, the smaller row_id keeps it and the others wait for the next round, in
+    which the name is taken; so no name is given twice. Rounds are as many as families of slugs overlap.
+    """
+    used = cut(taken.where("slug IS NOT NULL").select("slug").distinct())
+    waiting = cut(slugs.where("slug IS NOT NULL").select("slug", "row_id"))
+    named: DataFrame | None = None
+    while True:
+        numbered = used.where(F.col("slug").rlike(r"^.+-[1-9][0-9]{0,8}$")).select(F.regexp_extract("slug", r"^(.+)-[0-9]+$", 1).alias("slug"), F.regexp_extract("slug", r"-([0-9]+)$", 1).cast("long").alias("number"))
+        occupied = used.select("slug", F.lit(0).cast("long").alias("number")).unionByName(numbered)
+        sizes = waiting.groupBy("slug").agg(F.count(F.lit(1)).alias("n")).join(occupied.groupBy("slug").agg(F.count(F.lit(1)).alias("m")), "slug", "left").withColumn("m", F.coalesce("m", F.lit(0)))
+        free = sizes.select("slug", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") + F.col("m") - 1)).alias("number")).join(occupied, ["slug", "number"], "left_anti")
+        places = free.withColumn("place", F.row_number().over(Window.partitionBy("slug").orderBy("number"))).where("place <= n").select("slug", "place", "number")
+        order = waiting.withColumn("place", F.row_number().over(Window.partitionBy("slug").orderBy("row_id")))
+        proposed = order.join(places, ["slug", "place"]).select("slug", "row_id", F.when(F.col("number") == 0, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("number").cast("string"))).alias("free_slug"))
+        first = proposed.groupBy("free_slug").agg(F.min_by(F.struct("slug", "row_id"), "row_id").alias("r")).select("r.slug", "r.row_id", "free_slug")
+        won = cut(first)
+        named = won if named is None else named.unionByName(won)
+        waiting = cut(waiting.join(won.select("slug", "row_id"), ["slug", "row_id"], "left_anti"))
+        if waiting.isEmpty():
+            return named
+        used = cut(used.unionByName(won.select(F.col("free_slug").alias("slug"))))

@@ -6,11 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as T
-from folioscope.functions.constants import CONTRADICTION_MARKERS, RECHECK_DAYS
-
-TRUNCATION = r"(?U)(?<![\p{L}])(?:gekürzt\p{L}*|kürzung\p{L}*|abgeschnitten\p{L}*|truncated|cut off)(?![\p{L}])"
-INJECTIONS = (r"(?i)ignore (?:all|previous)", r"(?i)disregard", r"(?i)system prompt", r"(?i)you are now", r"(?i)</?(?:system|user|assistant)>", r"(?i)\bexec(?:ute)?\b", r"(?i)api[_ -]?key", r"(?i)override")
-
+from folioscope.functions.constants import CONTRADICTION_MARKERS, INJECTION_PATTERNS, RECHECK_DAYS, TRUNCATION_MARKERS, TRUNCATION_WORDS
 
 def fingerprints(issues: DataFrame) -> DataFrame:
     """(page, fingerprint): 16 digits of the hash of the sorted distinct claims; pages without issues have none."""
@@ -23,7 +19,9 @@ def contradicts_itself(evidence: str | Column, hint: str | Column) -> Column:
 
 
 def truncation_artefact(origin: str, severity: str, evidence: str) -> Column:
-    return (F.col(origin) == "llm") & (F.col(severity) == "contradiction") & F.lower(F.col(evidence)).rlike(TRUNCATION)
+    """A contradiction of the model whose evidence rests on a shortened source; "Abkürzung" is another word."""
+    named = T.any_contains(evidence, TRUNCATION_MARKERS) | F.lower(F.col(evidence)).rlike("(?U)" + TRUNCATION_WORDS)
+    return (F.col(origin) == "llm") & (F.col(severity) == "contradiction") & named
 
 
 def selected(pages: DataFrame, today: str, n: int) -> DataFrame:
@@ -57,8 +55,8 @@ def rule_verdict(direction: str) -> Column:
     """Why a rule text is refused, or null."""
     d = F.regexp_replace(F.col(direction), r"[\x00-\x08\x0B-\x1F\x7F]", "")
     out = F.when(F.trim(d) == "", "empty").when(F.length(d) > 500, "too long").when(d.rlike(r"(?m)^\s*#"), "header").when(F.contains(d, F.lit("```")), "fence")
-    for pattern in INJECTIONS:
-        out = out.when(d.rlike(pattern), "injection")
+    for pattern in INJECTION_PATTERNS:
+        out = out.when(d.rlike("(?i)" + pattern), "injection")
     return out
 
 

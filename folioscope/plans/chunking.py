@@ -68,18 +68,9 @@ def chunk_markdown(spark: SparkSession, d: str) -> DataFrame:
     return made.withColumn("content_hash", F.sha2("content", 256))
 
 
-_SPLIT = "string_split_regex(regexp_replace(content, '(?s)<!--.*?-->', '', 'g'), '(?m)^##[ \\t]')"
-
-
-@query("section_counts", f"SELECT id, len(list_filter({_SPLIT}, lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13)) != ''))::INT AS n_sections FROM chunks", "T1")
-def section_counts(spark: SparkSession, d: str) -> DataFrame:
-    parts = F.split(F.regexp_replace("content", r"(?s)<!--.*?-->", ""), r"(?m)^##[ \t]")
-    return table(spark, d, "chunks").select("id", F.size(F.filter(parts, lambda s: F.trim(s, F.lit(" \t\n\r")) != "")).alias("n_sections"))
-
-
 @query("section_groups", operators="T2 T3")
 def section_groups(spark: SparkSession, d: str) -> DataFrame:
-    return folds.apply(table(spark, d, "documents"), ["doc_id"], ["text"], lambda b: folds.section_groups(b, 3000, 1500, 1200), "part int, label string, body string")
+    return folds.apply(table(spark, d, "documents"), ["doc_id"], ["text"], lambda b: folds.section_groups(b), "part int, label string, body string")
 
 
 @query("greedy_pack", operators="T4 W5")
@@ -94,20 +85,24 @@ def semantic_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query("large_document_cuts", operators="T7 D-2")
 def large_document_cuts(spark: SparkSession, d: str) -> DataFrame:
-    return folds.apply(table(spark, d, "documents"), ["doc_id"], ["text"], lambda t: enumerate(folds.large_cuts(t or "", 2000)), "part int, piece string")
+    return folds.apply(table(spark, d, "documents"), ["doc_id"], ["text"], lambda t: enumerate(folds.large_cuts(t or "", 6000)), "part int, piece string")
 
 
-@query("head_tail_trim", "SELECT doc_id, CASE WHEN length(text) <= 1000 THEN text ELSE substr(text, 1, 500) || '…' || right(text, 500) END AS trimmed, length(text) > 1000 AS truncated FROM documents", "T8 T9")
+@query("head_tail_trim", "SELECT doc_id, CASE WHEN length(text) <= 1000 THEN text ELSE text[1:496] || chr(10) || chr(10) || '[…]' || chr(10) || chr(10) || right(text, 496) END AS trimmed, CASE WHEN length(text) <= 3000 THEN text ELSE text[1:1000] || chr(10) || chr(10) || '[…]' || chr(10) || chr(10) || text[(length(text) - 1000) // 2 + 1:(length(text) - 1000) // 2 + 1000] || chr(10) || chr(10) || '[…]' || chr(10) || chr(10) || right(text, 1000) END AS sampled, length(text) > 3000 AS truncated FROM documents", "T8 T9")
 def head_tail_trim(spark: SparkSession, d: str) -> DataFrame:
-    t = F.when(F.length("text") <= 1000, F.col("text")).otherwise(F.concat(F.substring("text", 1, 500), F.lit("…"), F.expr("right(text, 500)")))
-    return table(spark, d, "documents").select("doc_id", t.alias("trimmed"), (F.length("text") > 1000).alias("truncated"))
+    return folds.apply(table(spark, d, "documents"), ["doc_id"], ["text"], lambda t: [(folds.head_tail(t, 1000), *folds.head_middle_tail(t, 3000, 1000))], "trimmed string, sampled string, truncated boolean")
+
+
+_WS = "' ' || chr(9) || chr(10) || chr(13)"
 
 
-@query("source_sentences", f"WITH {ENTITIES}, s AS (SELECT id, string_split_regex(description, '\\s+') AS w, description FROM e WHERE description IS NOT NULL) SELECT id, CASE WHEN length(description) <= 200 THEN description ELSE 'long' END AS sentence FROM s WHERE description NOT LIKE '%. %' AND description NOT LIKE '%! %' AND description NOT LIKE '%? %'", "T6")
+@query("source_sentences", f"""WITH {ENTITIES},
+s AS (SELECT id, description AS t, list_filter(string_split(regexp_replace(description, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: contains(lower(x), lower(label))) AS m FROM e WHERE description IS NOT NULL),
+f AS (SELECT id, CASE WHEN len(m) > 0 THEN trim(m[1], {_WS}) ELSE t END AS f FROM s), h AS (SELECT id, f, f[1:200] AS h, position(' ' IN reverse(f[1:200])) AS p FROM f)
+SELECT id, CASE WHEN length(f) <= 200 THEN trim(f, {_WS}) ELSE rtrim(CASE WHEN p > 0 AND 200 - p > 150 THEN h[1:200 - p] ELSE h END, {_WS}) || '…' END AS sentence FROM h""", "T6")
 def source_sentences(spark: SparkSession, d: str) -> DataFrame:
-    e = entities(spark, d).where("description IS NOT NULL").where("description NOT LIKE '%. %' AND description NOT LIKE '%! %' AND description NOT LIKE '%? %'")
-    first = T.source_sentence("description", F.get(F.split("description", r"\s+"), F.lit(0)))
-    return e.select("id", F.when(F.length("description") <= 200, first).otherwise("long").alias("sentence"))
+    """The sentence of each description that names its entity."""
+    return entities(spark, d).where("description IS NOT NULL").select("id", T.source_sentence("description", "label").alias("sentence"))
 
 
 @query("kg_snippets", f"WITH {ENTITIES}, {RELATIONS}, o AS (SELECT source_id AS id, relation_type || ' → ' || t.label AS line, row_number() OVER (PARTITION BY source_id ORDER BY r.id) AS rn FROM r JOIN e t ON t.id = target_id WHERE r.valid_until IS NULL) SELECT e.id, e.label || coalesce(': ' || string_agg(line, '; ' ORDER BY rn), '') AS snippet FROM e LEFT JOIN o ON o.id = e.id AND rn <= 4 GROUP BY e.id, e.label", "T23")

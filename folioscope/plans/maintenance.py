@@ -126,11 +126,15 @@ def large_pages(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).select("doc_id", "ref", F.length("body").cast("long").alias("n_chars")).where("n_chars >= 2000")
 
 
-@query("next_split_slug", "SELECT split_part(ref, '/', -1)[1:8] AS root, 1 + max(CASE WHEN regexp_matches(ref, '-\\d+$') THEN regexp_extract(ref, '-(\\d+)$', 1)::INT ELSE 0 END) AS next_number FROM documents WHERE kind = 'wiki' GROUP BY 1", "A17")
+@query("next_split_slug", "SELECT scope, root, root || '-' || (1 + greatest(1, max(n))) AS next_slug FROM (SELECT scope, CASE WHEN regexp_matches(s, '^.+-\\d+$') THEN regexp_extract(s, '^(.+)-\\d+$', 1) ELSE s END AS root, coalesce(try_cast(nullif(regexp_extract(s, '-(\\d+)$', 1), '') AS BIGINT), 1) AS n FROM (SELECT scope, split_part(ref, '/', -1) AS s FROM documents WHERE kind = 'wiki')) GROUP BY scope, root", "A17")
 def next_split_slug(spark: SparkSession, d: str) -> DataFrame:
-    n = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract("ref", r"-(\d+)$", 1), F.lit("")), F.lit("999999999")).cast("int"), F.lit(0))
-    root = F.substring(F.element_at(F.split("ref", "/"), -1), 1, 8)
-    return pages(spark, d).groupBy(root.alias("root")).agg((F.max(n) + 1).alias("next_number"))
+    """The next free number of each family of pages: the root is what stands before ``-N``, and numbers begin at 2."""
+    slug = F.element_at(F.split("ref", "/"), -1)
+    numbered = slug.rlike(r"^.+-\d+$")
+    root = F.when(numbered, F.regexp_extract(slug, r"^(.+)-\d+$", 1)).otherwise(slug)
+    n = F.coalesce(F.when(numbered, F.regexp_extract(slug, r"-(\d+)$", 1).try_cast("long")), F.lit(1).cast("long"))
+    highest = pages(spark, d).groupBy("scope", root.alias("root")).agg(F.max(n).alias("n"))
+    return highest.select("scope", "root", F.concat("root", F.lit("-"), (F.greatest("n", F.lit(1)) + 1).cast("string")).alias("next_slug"))
 
 
 @query("companion_pick", f"SELECT scope, arg_min(ref, (length({_BODY}), ref, doc_id)) AS ref FROM documents WHERE kind = 'wiki' GROUP BY scope", "A16")
@@ -172,9 +176,9 @@ def slugs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.slugify(F.element_at(F.split("ref", "/"), -1)).alias("slug"))
 
 
-@query("accentless_slugs", "SELECT id, regexp_replace(regexp_replace(strip_accents(replace(replace(replace(replace(lower(section), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM chunks WHERE section IS NOT NULL AND NOT regexp_matches(section, '[^\\x00-\\x7FäöüßÄÖÜéèáàóúíñçôâêûï]')", "T13")
+@query("accentless_slugs", "SELECT id, regexp_replace(regexp_replace(strip_accents(replace(replace(replace(replace(lower(section), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM chunks WHERE section IS NOT NULL", "T13")
 def accentless_slugs(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks").where(F.col("section").isNotNull() & ~F.col("section").rlike("[^\\x00-\\x7FäöüßÄÖÜéèáàóúíñçôâêûï]"))
+    c = table(spark, d, "chunks").where(F.col("section").isNotNull())
     return c.select("id", T.accentless_slug("section").alias("slug"))
 
 

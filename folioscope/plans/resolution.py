@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.durable import cut
 from folioscope.functions import folds
 from folioscope.functions import text as T
-from folioscope.functions.constants import ENTITY_TYPES, LABEL_STOPWORDS
+from folioscope.functions.constants import ENTITY_TYPES, PRIORITY_EACH, PRIORITY_TYPES, PROMPT_ENTRIES
 from folioscope.operators import resolve as R
 from folioscope.operators.graph import active
 from folioscope.plans.search import ENTITIES, RELATIONS
@@ -16,7 +16,14 @@ from folioscope.registry import query
 from folioscope.tables import entities, relationships, table
 
 _W = f"WITH {ENTITIES}, {RELATIONS}"
-_STOP = "[" + ", ".join(f"'{w}'" for w in LABEL_STOPWORDS) + "]"
+# Fixed values, written out again so that the twin does not share the list of the code.
+_STOP = (
+    "string_split('der die das ein eine einer eines einem einen des dem den derselbe dieselbe dasselbe und oder aber doch sowie beziehungsweise "
+    "von zum zur im am an auf bei in mit nach neben ohne unter ueber vor zwischen durch gegen hinter innerhalb außerhalb seit waehrend "
+    "ist sind war wurde hat haben wird werden auch noch mehr nur sehr wie was wo "
+    "haus gebaeude einfamilienhaus mehrfamilienhaus wohnhaus gewerbepark buero bueros lokal lokale raum raeume villa hof hofanlage anlage objekt immobilie "
+    "grundstueck grundstuecke parzelle parzellen wohnung wohnungen appartment appartement', ' ')"
+)
 _GERMAN = "replace(replace(replace(replace(lower({0}), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')"
 _TOKENS = f"list_sort(list_distinct(list_filter(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace({_GERMAN.format('label')}, 'strasse\\b', 'straße', 'g'), 'str\\.', 'straße', 'g'), '\\bnr\\.', 'nummer', 'g'), '[a-z0-9äöüß]+'), lambda w: length(w) > 1 AND NOT list_contains({_STOP}, w))))"
 
@@ -137,13 +144,30 @@ def registry_seed(spark: SparkSession, d: str) -> DataFrame:
     return first.select("r.id", "r.label", "r.entity_type")
 
 
-@query("registry_prompt", f"{_W}, x AS (SELECT id, label, entity_type, row_number() OVER (PARTITION BY entity_type ORDER BY label, id) AS rn FROM e WHERE entity_type IN ('PERSON', 'ORGANIZATION', 'LOCATION')) SELECT entity_type, label, id, rn::INT AS position FROM x WHERE rn <= 10 ORDER BY entity_type, rn LIMIT 30", "W3 G36")
-def registry_prompt(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+_PROMPT = f"""{_W}, o AS (SELECT id, label, entity_type, row_number() OVER (ORDER BY lower(label), label, id) AS k FROM e),
+x AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY k) AS rn FROM (SELECT *, list_position(['PERSON', 'PROPERTY', 'ORGANIZATION', 'LOCATION'], entity_type) AS t FROM o) WHERE t > 0),
+chosen AS (SELECT *, row_number() OVER (ORDER BY t, rn) AS position FROM x WHERE rn <= 10 AND (t < 4 OR rn <= greatest(1, 30 - (SELECT count(*) FROM x WHERE t < 4 AND rn <= 10)))),
+rest AS (SELECT *, row_number() OVER (ORDER BY k) + (SELECT count(*) FROM chosen) AS position FROM o WHERE id NOT IN (SELECT id FROM chosen))
+SELECT entity_type, label, id, position::INT AS position FROM chosen UNION ALL SELECT entity_type, label, id, position::INT FROM rest WHERE position <= 30"""
+
 
-    w = Window.partitionBy("entity_type").orderBy("label", "id")
-    e = entities(spark, d).where(F.col("entity_type").isin("PERSON", "ORGANIZATION", "LOCATION"))
-    return e.withColumn("position", F.row_number().over(w)).where("position <= 10").orderBy("entity_type", "position").limit(30).select("entity_type", "label", "id", "position")
+@query("registry_prompt", _PROMPT, "W3 G36")
+def registry_prompt(spark: SparkSession, d: str) -> DataFrame:
+    """Known entities for a prompt: ten of each priority type, in order of the registry, then others up to 30.
+
+    A priority type that comes after the room is used up still brings one entity.
+    """
+    e = entities(spark, d).select("id", "label", "entity_type", F.struct(F.lower("label").alias("l"), "label", "id").alias("k"))
+    by = Window.partitionBy("entity_type").orderBy("k")
+    first = [r for t in [e.where(F.col("entity_type").isin(*PRIORITY_TYPES)).withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= PRIORITY_EACH).orderBy("rn").collect()] for r in t]
+    chosen: list = []
+    for kind in PRIORITY_TYPES:
+        room = max(1, PROMPT_ENTRIES - len(chosen))
+        chosen += [r for r in first if r["entity_type"] == kind][:room]
+    if len(chosen) < PROMPT_ENTRIES:
+        held = {r["id"] for r in chosen}
+        chosen += [r for r in e.orderBy("k").limit(2 * PROMPT_ENTRIES).collect() if r["id"] not in held][: PROMPT_ENTRIES - len(chosen)]
+    return spark.createDataFrame([(r["entity_type"], r["label"], r["id"], i) for i, r in enumerate(chosen, 1)], "entity_type string, label string, id string, position int")
 
 
 @query("entity_resolution", operators="G13 J15 G14")
