@@ -75,8 +75,9 @@ def collision_free(slugs: DataFrame, taken: DataFrame) -> DataFrame:
     """(slug, row_id, free_slug): slugs that are taken or repeat get the first free of ``-1``, ``-2`` and so on, in order of row_id.
 
     Each round gives the waiting rows of a slug its free numbers. Where two slugs come to the same name, as
-    ``a`` with ``-1`` and ``a-1`` do, the smaller row_id keeps it and the others wait for the next round, in
-    which the name is taken; so no name is given twice. Rounds are as many as families of slugs overlap.
+    ``a`` with ``-1`` and ``a-1`` do, the smaller row_id keeps it; the other and all later rows of the family
+    (slugs that differ only in numbers at the end) wait for the next round, in which the name is taken. So no
+    name is given twice, and the names are those of going through the rows one by one.
     """
     used = cut(taken.where("slug IS NOT NULL").select("slug").distinct())
     waiting = cut(slugs.where("slug IS NOT NULL").select("slug", "row_id"))
@@ -90,7 +91,9 @@ def collision_free(slugs: DataFrame, taken: DataFrame) -> DataFrame:
         order = waiting.withColumn("place", F.row_number().over(Window.partitionBy("slug").orderBy("row_id")))
         proposed = order.join(places, ["slug", "place"]).select("slug", "row_id", F.when(F.col("number") == 0, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("number").cast("string"))).alias("free_slug"))
         first = proposed.groupBy("free_slug").agg(F.min_by(F.struct("slug", "row_id"), "row_id").alias("r")).select("r.slug", "r.row_id", "free_slug")
-        won = cut(first)
+        family = F.regexp_replace("slug", r"(-[0-9]+)+$", "")
+        lost = proposed.join(first, ["slug", "row_id", "free_slug"], "left_anti").groupBy(family.alias("family")).agg(F.min("row_id").alias("until"))
+        won = cut(first.withColumn("family", family).join(lost, "family", "left").where("until IS NULL OR row_id < until").select("slug", "row_id", "free_slug"))
         named = won if named is None else named.unionByName(won)
         waiting = cut(waiting.join(won.select("slug", "row_id"), ["slug", "row_id"], "left_anti"))
         if waiting.isEmpty():
