@@ -217,7 +217,7 @@ def candidate_sets(sets: DataFrame, min_words: int, threshold: float, kept: floa
     """Pairs (a, b) of set hashes that collide under a mask and pass the sketch; ``sets`` holds each set once."""
     spark = sets.sparkSession
     sizes = {r["n"]: r["count"] for r in sets.groupBy(F.size("words").alias("n")).count().collect()}
-    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-signature_bytes(sizes, min_words, threshold, kept) // GROUP_BYTES))
+    parts = parts or max(spark.sparkContext.defaultParallelism, -(-signature_bytes(sizes, min_words, threshold, kept) // GROUP_BYTES))
     frequent = hot_signatures(sets, sum(sizes.values()), min_words, threshold, kept, run_limit)
     hot_keys = np.array(sorted(frequent), np.uint64)
     hot_blocks = np.array([frequent[k] for k in sorted(frequent)], np.int32)
@@ -280,9 +280,17 @@ def candidate_sets(sets: DataFrame, min_words: int, threshold: float, kept: floa
     names = ["a", "b", "run", "low_sketch", "high_sketch", "size", "blocks"]
     schema = "a long, b long, run long, low_sketch long, high_sketch long, size int, blocks int"
 
-    def collide(key: tuple, group: pa.Table) -> pa.Table:
-        number = key[0].as_py()
-        hashes, low, high, sizes, keys = unpack(group.column("blob").to_pylist())
+    def collide_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task holds one partition of the signature space; were it given more, it would take them in turn."""
+        blobs: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                blobs.setdefault(number, []).append(blob)
+        for number in sorted(blobs):
+            yield from collide(number, blobs.pop(number)).to_batches()
+
+    def collide(number: int, blobs: list[bytes]) -> pa.Table:
+        hashes, low, high, sizes, keys = unpack(blobs)
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -329,7 +337,7 @@ def candidate_sets(sets: DataFrame, min_words: int, threshold: float, kept: floa
         return pa.Table.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
     packed = sets.select("set_hash", "words").mapInArrow(pack, "part int, blob binary")
-    collided = cut(packed.repartition(parts, "part").groupBy("part").applyInArrow(collide, schema))
+    collided = cut(packed.repartitionById(parts, "part").mapInArrow(collide_all, schema))
     columns = ["run", "a", "low_sketch", "high_sketch", "size", "blocks"]
     hot = collided.where(F.col("b").isNull()).select(columns)
     if frequent:
