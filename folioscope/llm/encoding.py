@@ -79,7 +79,7 @@ def word_forms(chunks: DataFrame, fields: tuple[str, ...] = ("content", "ref"))
     held = texts.select(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), F.array_distinct(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).alias("forms"))
     words = held.where(F.size("forms") > 0).groupBy("h", "g").agg(F.first("forms").alias("forms"), F.count(F.lit(1)).alias("copies")).select(F.explode("forms").alias("form"), "copies")
     counted = words.groupBy("form").agg(F.count(F.lit(1)).alias("df"), F.sum("copies").alias("uses"))
-    return counted.where(F.length("form") <= 60).select("form", "df", "uses", F.regexp_replace("form", r"[^\x00-\x7F]", "").alias("stripped"))
+    return counted.select("form", "df", "uses", F.regexp_replace("form", r"[^\x00-\x7F]", "").alias("stripped"))
 
 
 def back_tables(learned: list, alphabet: dict[str, int]) -> list[dict[str, str]]:
@@ -149,7 +149,7 @@ def solid_forms(forms: DataFrame, suspects: set[str], garbled: DataFrame, least:
 class Restorer:
     """Finds and undoes the learned transformations in one text."""
 
-    def __init__(self, learned: list, alphabet: dict[str, int], solid: set[str]):
+    def __init__(self, learned: list, alphabet: dict[str, int]):
         self.multi: dict[str, str] = {}
         self.singles: list[dict[str, str]] = []
         # Characters that garbling through UTF-8 itself produces are no evidence of a clean alphabet.
@@ -166,23 +166,21 @@ class Restorer:
                 table = {g: c for c in letters if (g := garble(c, chain)) and g != c and len(g) == 1 and ord(g) > 127}
                 if table:
                     self.singles.append(table)
-        self.solid = solid
         self.words = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]*[^\x00-\x7f](?:[A-Za-z0-9]|[^\x00-\x7f])*")
         most = max(alphabet.values(), default=0)
         # Letters behind few words could be garbled themselves, as could those that begin garbled sequences.
         heads = {g[0] for g in self.multi}
         self.trusted = {c for c, n in alphabet.items() if c.isalpha() and n >= max(3, 0.002 * most)}
         self.evident = {c for c, n in alphabet.items() if c.isalpha() and n >= max(3, 0.005 * most)} - heads
-        self.solid_folded = {w.casefold() for w in solid}
 
-    def single_table(self, text: str) -> dict[str, str] | None:
+    def single_table(self, text: str, solid: set[str]) -> dict[str, str] | None:
         """The single-byte transformation that explains most words of the text, if any does."""
         best, score = None, 0
         for table in self.singles:
             hits = 0
             for m in self.words.finditer(text):
                 word = m[0]
-                if len(word) < 3 or word.casefold() in self.solid_folded or not any(table.get(ch) in self.evident and ch not in self.trusted for ch in word):
+                if len(word) < 3 or word.lower() in solid or not any(table.get(ch) in self.evident and ch not in self.trusted for ch in word):
                     continue
                 changed = "".join(table.get(ch, ch) for ch in word)
                 if changed.isalpha() and any(ch < "\x80" for ch in word) and all(ch in table or ch < "\x80" or ch in self.trusted for ch in word):
@@ -191,8 +189,8 @@ class Restorer:
                 best, score = table, hits
         return best
 
-    def __call__(self, text: str) -> tuple[bool, str]:
-        """Whether some characters are garbled, and the text with those restored that can be."""
+    def __call__(self, text: str, solid: set[str]) -> tuple[bool, str]:
+        """Whether some characters are garbled, and the text with those restored that can be. ``solid``: words, in lower case, that are clean."""
         bad = _LOST in text
         if text.isascii():
             return False, text
@@ -202,10 +200,10 @@ class Restorer:
                 break
             bad = True
             out = self.pattern.sub(lambda m: self.multi[m[0]], out)
-        table = self.single_table(out)
+        table = self.single_table(out, solid)
         if table is not None:
             bad = True
-            out = self.words.sub(lambda m: m[0] if m[0].casefold() in self.solid_folded else "".join(table.get(ch, ch) if ch not in self.trusted else ch for ch in m[0]), out)
+            out = self.words.sub(lambda m: m[0] if m[0].lower() in solid else "".join(table.get(ch, ch) if ch not in self.trusted else ch for ch in m[0]), out)
         return bad, out
 
 
@@ -217,23 +215,34 @@ def restored_fields(chunks: DataFrame, fields: tuple[str, ...] = ("content", "re
     forms = cut(word_forms(chunks, fields)) if forms is None else forms
     learned, alphabet, garbled = learn(forms, least_words)
     suspects = {g for chain in learned if chain[0][0] != "utf-8" for c in alphabet if (g := garble(c, chain)) and len(g) == 1 and ord(g) > 127}
-    # A closed set: forms with one of a few characters that are frequent and unlike all their twins.
-    solid = {r[0] for r in solid_forms(forms, suspects, garbled).collect()}
-    shared = chunks.sparkSession.sparkContext.broadcast((learned, alphabet, solid))
+    shared = chunks.sparkSession.sparkContext.broadcast((learned, alphabet))
 
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = Restorer(*shared.value)
         for batch in batches:
             out: list[tuple] = []
-            for row, field, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                bad, better = work(text.as_py())
+            for row, field, text, solid in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                bad, better = work(text.as_py(), set(solid or ()))
                 if bad:
                     out.append((row, field, better, _LOST not in better))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.bool_())], names=["id", "field_name", "restored", "complete"])
 
+    schema = "id long, field_name string, restored string, complete boolean"
     rows = field_rows(chunks, fields).where(F.col("text").rlike(r"[^\x00-\x7F]"))
-    return rows.mapInArrow(restore, "id long, field_name string, restored string, complete boolean")
+    none = F.lit(None).cast("array<string>").alias("solid")
+    if not suspects:
+        return rows.select("id", "field_name", "text", none).mapInArrow(restore, schema)
+    # Only texts with a suspect character inside a word need to know which of their words are clean: these words
+    # meet the solid forms in the cluster, and the verdicts go back to their texts. No vocabulary is collected.
+    one = "[" + re.escape("".join(sorted(suspects))) + "]"
+    inside = F.col("text").rlike(rf"{one}[A-Za-z0-9\x80-\x{{10FFFF}}]|[A-Za-z0-9\x80-\x{{10FFFF}}]{one}")
+    held = rows.where(inside).withColumn("h", F.xxhash64("text"))
+    words = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), lambda w: w.rlike(one)))
+    asked = held.select("id", "field_name", "h", F.explode(F.transform(words, F.lower)).alias("form")).distinct()
+    verdicts = asked.join(solid_forms(forms, suspects, garbled).select(F.lower("form").alias("form")), "form", "left_semi").groupBy("id", "field_name", "h").agg(F.collect_set("form").alias("solid"))
+    with_verdicts = held.join(verdicts, ["id", "field_name", "h"], "left").select("id", "field_name", "text", "solid")
+    return rows.where(~inside).select("id", "field_name", "text", none).mapInArrow(restore, schema).unionByName(with_verdicts.mapInArrow(restore, schema))
 
 
 def restored_with_twins(chunks: DataFrame, fields: tuple[str, ...] = ("content", "ref"), least_words: int = 8) -> DataFrame:

@@ -13,6 +13,7 @@
    preceding word decide.
 
 Defined cases: null contents have no cases and no repair; texts that are not pages come back as no row;
+words under four letters are left alone, as too much is like them;
 a hyphen before "und", "or" and the like is no division; repeated rows each have their rows; empty tables
 give no rows; extra columns are ignored.
 """
@@ -38,8 +39,6 @@ _TREE = re.compile(r"[├└]─|│")
 #: What scanners take for what, (read, meant, cost).
 CONFUSIONS = (("c", "e", 0.2), ("v", "u", 0.2), ("9", "g", 0.2), ("5", "s", 0.2), ("1", "i", 0.2), ("1", "l", 0.2), ("0", "o", 0.2), ("li", "h", 0.2), ("rn", "m", 0.2), ("ii", "ü", 0.2), ("a'", "ä", 0.2), ("o'", "ö", 0.2), ("u'", "ü", 0.2), ("B", "ß", 0.2), ("8", "B", 0.2), ("cl", "d", 0.3), ("vv", "w", 0.3), ("6", "b", 0.3))
 MOST_COST = 0.7
-#: A table of bigrams is sent to all executors only if it has been counted and is not longer than this.
-BROADCAST_ROWS = 200_000
 _PAIRED = tuple(c for c in CONFUSIONS if len(c[0]) == 2)
 _INNER = re.compile(r"[^\W\d_][0158969]+[^\W\d_]|[^\W\d_]{2}[0159](?=$)|^[0158](?=[^\W\d_]{3})|[aouAOU]'[^\W\d_]{2}")
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
@@ -180,15 +179,15 @@ def pages(chunks: DataFrame) -> DataFrame:
                 if not page.page:
                     continue
                 divided, paragraphs = page.body(set())
-                words: dict[str, str] = {}
+                words: set[tuple[str, str]] = set()
                 before = ""
                 inner = False
                 for token in _TOKEN.findall(" ".join(paragraphs)):
                     if len(token) >= 4 and sum(ch.isalpha() for ch in token) >= 3:
-                        words.setdefault(token, before)
+                        words.add((before, token))
                         inner |= bool(_INNER.search(token)) and not re.search(r"\d{2}|^[dlDL]'", token)
                     before = token
-                out.append((chunk, ref, bool(divided), bool(page.numbers), any(s for _, _, s in page.headers), inner, [n for _, n, _ in page.headers], [{"before": b, "word": w} for w, b in words.items()]))
+                out.append((chunk, ref, bool(divided), bool(page.numbers), any(s for _, _, s in page.headers), inner, [n for _, n, _ in page.headers], [{"before": b, "word": w} for b, w in sorted(words)]))
             columns = list(zip(*out, strict=True)) if out else [[]] * 8
             kinds = [pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), kind]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "ref", "hyphen", "page_number", "header", "numbered", "headers", "suspects"])
@@ -206,7 +205,7 @@ def distinct_texts(chunks: DataFrame) -> DataFrame:
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, df) over all rows of ``texts``."""
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*+"), F.lit(0)))).alias("word"))
-    return words.where(F.length("word").between(4, 40)).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    return words.where(F.length("word") >= 4).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
 
 
 def shape(column: str | Column) -> Column:
@@ -230,7 +229,7 @@ _cost_column = F.pandas_udf(_costs, DoubleType()).asNondeterministic()
 
 def _index(words: DataFrame, deleted: Column) -> DataFrame:
     """The words under their shape and, where ``deleted`` says so, under each of its deletions."""
-    at = F.transform(F.sequence(F.lit(1), F.length("shape")), lambda i: F.concat(F.substring(F.col("shape"), F.lit(1), i - 1), F.substring(F.col("shape"), i + 1, F.lit(80))))
+    at = F.transform(F.sequence(F.lit(1), F.length("shape")), lambda i: F.concat(F.substring(F.col("shape"), F.lit(1), i - 1), F.substring(F.col("shape"), i + 1, F.length("shape"))))
     keys = F.when(deleted, F.array_distinct(F.array_union(F.array("shape"), at))).otherwise(F.array("shape"))
     return words.withColumn("shape", shape("word")).withColumn("key", F.explode(keys))
 
@@ -286,14 +285,14 @@ def repaired(chunks: DataFrame) -> DataFrame:
     several = fixes.groupBy("word").agg((F.count(F.lit(1)) > 1).alias("several"))
     options = cut(uses.join(fixes.join(several, "word"), "word"))
     # Bigram context, where there is a choice: in how many places of distinct texts a candidate follows the preceding word.
-    needed = cut(options.where("several").select(F.concat_ws(" ", "before", "candidate").alias("bigram")).distinct())
-    if needed.count() <= BROADCAST_ROWS:
-        needed = F.broadcast(needed)
+    needed = options.where("several").select(F.concat_ws(" ", "before", "candidate").alias("bigram")).distinct()
     tokens = texts.select(F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)*+"), F.lit(0)).alias("w")).where(F.size("w") > 1)
     bigrams = tokens.select(F.explode(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).alias("bigram"))
     counted = bigrams.join(needed, "bigram", "left_semi").groupBy("bigram").agg(F.count(F.lit(1)).alias("follows"))
-    scored = options.withColumn("bigram", F.concat_ws(" ", "before", "candidate")).join(counted, "bigram", "left")
-    score: Column = F.col("cost") * 4 - F.log1p(F.coalesce("follows", F.lit(0))) - 0.2 * F.log1p("candidate_df")
+    # A word is repaired alike on all of a page, by all places it stands in there.
+    placed = options.withColumn("bigram", F.concat_ws(" ", "before", "candidate")).join(counted, "bigram", "left")
+    scored = placed.groupBy("id", "word", "candidate").agg(F.min("cost").alias("cost"), F.max("candidate_df").alias("candidate_df"), F.sum(F.coalesce("follows", F.lit(0))).alias("follows"))
+    score: Column = F.col("cost") * 4 - F.log1p("follows") - 0.2 * F.log1p("candidate_df")
     best = scored.groupBy("id", "word").agg(F.min_by("candidate", F.struct(score, F.col("candidate"))).alias("candidate"))
     maps = best.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "candidate"))).alias("fixes"))
     heads = looked.select("id", "ref", F.explode("headers").alias("line")).join(lines, ["ref", "line"], "left_semi").groupBy("id").agg(F.collect_set("line").alias("lines"))
