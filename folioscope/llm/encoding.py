@@ -189,23 +189,29 @@ class Restorer:
                 best, score = table, hits
         return best
 
-    def __call__(self, text: str, solid: set[str]) -> tuple[bool, str]:
-        """Whether some characters are garbled, and the text with those restored that can be. ``solid``: words, in lower case, that are clean."""
-        bad = _LOST in text
-        if text.isascii():
-            return False, text
-        out = text
+    def through_utf8(self, text: str) -> tuple[bool, str]:
+        """Whether chains through UTF-8 or losses are there, and the text with the former undone."""
+        bad, out = _LOST in text, text
         for _ in range(3):
             if self.pattern is None or not self.pattern.search(out):
                 break
             bad = True
             out = self.pattern.sub(lambda m: self.multi[m[0]], out)
-        table = self.single_table(out, solid)
-        if table is not None:
-            bad = True
-            out = self.words.sub(lambda m: m[0] if m[0].lower() in solid else "".join(table.get(ch, ch) if ch not in self.trusted else ch for ch in m[0]), out)
         return bad, out
 
+    def between_pages(self, text: str, solid: set[str]) -> str | None:
+        """The text with the single-byte transformation undone that explains it, if one does; ``solid`` words, in lower case, are clean."""
+        table = self.single_table(text, solid)
+        if table is None:
+            return None
+        return self.words.sub(lambda m: m[0] if m[0].lower() in solid else "".join(table.get(ch, ch) if ch not in self.trusted else ch for ch in m[0]), text)
+
+    def __call__(self, text: str, solid: set[str] | frozenset[str] = frozenset()) -> tuple[bool, str]:
+        """Whether some characters are garbled, and the text with those restored that can be."""
+        bad, out = self.through_utf8(text)
+        better = self.between_pages(out, set(solid))
+        return bad or better is not None, out if better is None else better
+
 
 def restored_fields(chunks: DataFrame, fields: tuple[str, ...] = ("content", "ref"), least_words: int = 8, forms: DataFrame | None = None) -> DataFrame:
     """(id, field_name, restored, complete): the garbled fields, restored as far as the learned chains go.
@@ -215,34 +221,49 @@ def restored_fields(chunks: DataFrame, fields: tuple[str, ...] = ("content", "re
     forms = cut(word_forms(chunks, fields)) if forms is None else forms
     learned, alphabet, garbled = learn(forms, least_words)
     suspects = {g for chain in learned if chain[0][0] != "utf-8" for c in alphabet if (g := garble(c, chain)) and len(g) == 1 and ord(g) > 127}
-    shared = chunks.sparkSession.sparkContext.broadcast((learned, alphabet))
+    shared = chunks.sparkSession.sparkContext.broadcast((learned, alphabet, suspects))
+    schema = "id long, field_name string, restored string, complete boolean"
 
-    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = Restorer(*shared.value)
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Garbled fields, and those that may be garbled between single-byte pages with the words this rests on."""
+        *known, suspect = shared.value
+        work = Restorer(*known)
+        for batch in batches:
+            out: list[tuple] = []
+            for row, field, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                bad, better = work.through_utf8(text.as_py())
+                open_ = work.single_table(better, set()) is not None
+                if bad or open_:
+                    asked = sorted({m[0].lower() for m in work.words.finditer(better) if not suspect.isdisjoint(m[0])}) if open_ else None
+                    out.append((row, field, better, bad, asked))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "field_name", "restored", "bad", "asked"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = Restorer(*shared.value[:2])
         for batch in batches:
             out: list[tuple] = []
-            for row, field, text, solid in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                bad, better = work(text.as_py(), set(solid or ()))
-                if bad:
+            for row, field, text, bad, solid in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                better = work.between_pages(text, set(solid or ()))
+                if bad or better is not None:
+                    better = text if better is None else better
                     out.append((row, field, better, _LOST not in better))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.bool_())], names=["id", "field_name", "restored", "complete"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.bool_()), strict=True)], names=["id", "field_name", "restored", "complete"])
 
-    schema = "id long, field_name string, restored string, complete boolean"
     rows = field_rows(chunks, fields).where(F.col("text").rlike(r"[^\x00-\x7F]"))
-    none = F.lit(None).cast("array<string>").alias("solid")
+    found = cut(rows.mapInArrow(look, "id long, field_name string, restored string, bad boolean, asked array<string>"))
+    final = found.where("asked IS NULL").select("id", "field_name", "restored", (~F.contains("restored", F.lit(_LOST))).alias("complete"))
     if not suspects:
-        return rows.select("id", "field_name", "text", none).mapInArrow(restore, schema)
-    # Only texts with a suspect character inside a word need to know which of their words are clean: these words
-    # meet the solid forms in the cluster, and the verdicts go back to their texts. No vocabulary is collected.
-    one = "[" + re.escape("".join(sorted(suspects))) + "]"
-    inside = F.col("text").rlike(rf"{one}[A-Za-z0-9\x80-\x{{10FFFF}}]|[A-Za-z0-9\x80-\x{{10FFFF}}]{one}")
-    held = rows.where(inside).withColumn("h", F.xxhash64("text"))
-    words = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), lambda w: w.rlike(one)))
-    asked = held.select("id", "field_name", "h", F.explode(F.transform(words, F.lower)).alias("form")).distinct()
+        return final
+    # Words of the open fields meet the solid forms in the cluster, and the verdicts go back to their fields: no
+    # vocabulary is collected, and no text but those of open fields is moved.
+    held = found.where("asked IS NOT NULL").withColumn("h", F.xxhash64("restored"))
+    asked = held.select("id", "field_name", "h", F.explode("asked").alias("form")).distinct()
     verdicts = asked.join(solid_forms(forms, suspects, garbled).select(F.lower("form").alias("form")), "form", "left_semi").groupBy("id", "field_name", "h").agg(F.collect_set("form").alias("solid"))
-    with_verdicts = held.join(verdicts, ["id", "field_name", "h"], "left").select("id", "field_name", "text", "solid")
-    return rows.where(~inside).select("id", "field_name", "text", none).mapInArrow(restore, schema).unionByName(with_verdicts.mapInArrow(restore, schema))
+    decided = held.join(verdicts, ["id", "field_name", "h"], "left").select("id", "field_name", "restored", "bad", "solid").mapInArrow(decide, schema)
+    return final.unionByName(decided)
 
 
 def restored_with_twins(chunks: DataFrame, fields: tuple[str, ...] = ("content", "ref"), least_words: int = 8) -> DataFrame:
